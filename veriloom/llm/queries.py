@@ -8,21 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veriloom.llm.common import documents
 from veriloom.llm.exact_dedup import exact_dedup
+from veriloom.llm.bitplanes import round_trip
 from veriloom.llm.mixing import mix
+from veriloom.llm.packing import pack
+from veriloom.llm.tokens import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end=0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=1)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_bitplanes": op4_bitplanes, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
