@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veriloom.llm.common import documents
 from veriloom.llm.exact_dedup import exact_dedup
 from veriloom.llm.bitplanes import round_trip
+from veriloom.llm.language import identify
 from veriloom.llm.mixing import mix
 from veriloom.llm.packing import pack
+from veriloom.llm.quality import classify
 from veriloom.llm.tokens import vocabulary
+from veriloom.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,16 +32,40 @@ def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_bitplanes": op4_bitplanes, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_bitplanes": op4_bitplanes, "op6_topk": op6_topk, "op7_quality": op7_quality, "op8_language": op8_language, "op9_exact_dedup": op9_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_topk": """
+            WITH usable AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), scored AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+                FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+            )
+            SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+            FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+        """,
         "op9_exact_dedup": r"""
             WITH normal AS (
                 SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
