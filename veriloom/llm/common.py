@@ -61,3 +61,18 @@ def split_hot(df: DataFrame, key: list[str], per_key: DataFrame, count: str, tot
     spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(*df.columns).bitwiseOR(F.lit(1)))
     met = marked.withColumn("_s", spread).join(rest.withColumn("_s", F.lit(0).cast("long")), [*key, "_s"], "left")
     return met.select(*df.columns, *[F.coalesce(F.col("_hot")[c], F.col(c)).alias(c) for c in values])
+
+
+#: Ids that may be broadcast; beyond that a join shuffles.
+FEW = 1_000_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` narrow rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` but for the rows whose id is in ``rejected``."""
+    side = few(written(rejected.select(F.col(id_col).alias("_id")).distinct(), "rejected"))
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")

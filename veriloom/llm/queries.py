@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriloom.llm.bitplanes import round_trip
+from veriloom.llm.chat import rotate
 from veriloom.llm.common import documents
 from veriloom.llm.exact_dedup import exact_dedup
-from veriloom.llm.bitplanes import round_trip
 from veriloom.llm.language import identify
+from veriloom.llm.licenses import scan
 from veriloom.llm.mixing import mix
+from veriloom.llm.near_dedup import near_dedup
 from veriloom.llm.packing import pack
 from veriloom.llm.quality import classify
 from veriloom.llm.tokens import vocabulary
@@ -28,10 +31,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a directory for each source, language and thousand of ids."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan(documents(spark, sf_dir).withColumn("path", path))
+
+
 def op4_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -48,8 +61,30 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_bitplanes": op4_bitplanes, "op6_topk": op6_topk, "op7_quality": op7_quality, "op8_language": op8_language, "op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op1_packing": op1_packing,
+        "op2_mixing": op2_mixing,
+        "op3_licenses": op3_licenses,
+        "op4_bitplanes": op4_bitplanes,
+        "op5_near_dedup": op5_near_dedup,
+        "op6_topk": op6_topk,
+        "op7_quality": op7_quality,
+        "op8_language": op8_language,
+        "op9_exact_dedup": op9_exact_dedup,
+        "op10_chat": op10_chat,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -75,4 +110,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
             FROM normal JOIN grouped USING (norm)
         """,
+        "op10_chat": r"""
+            WITH said AS (
+                SELECT conv_id, turn, coalesce(nullif(regexp_replace(coalesce(role, ''), '[\r\n<>]', ' ', 'g'), ''), 'unknown') AS speaker, coalesce(text, '') AS text
+                FROM conversations
+            ), rotated AS (
+                SELECT s.*, p.perspective,
+                       CASE WHEN s.speaker = p.perspective THEN 'assistant' WHEN s.speaker = 'system' THEN 'system' ELSE 'user' END AS chat_role
+                FROM said s JOIN (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system') p
+                  ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+            ), headed AS (
+                SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM rotated
+            ), sized AS (
+                SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM headed
+            ), placed AS (
+                SELECT *, row_number() OVER told - 1 AS pos,
+                       CAST(sum(length(rendered)) OVER (told ROWS UNBOUNDED PRECEDING) AS BIGINT) AS char_end
+                FROM sized
+                WINDOW told AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text)
+            )
+            SELECT conv_id, perspective, pos, turn, speaker, chat_role, rendered, char_end - length(rendered) AS char_start, char_end,
+                   CASE WHEN chat_role = 'assistant' THEN char_end - length(rendered) + length(head) END AS mask_start,
+                   CASE WHEN chat_role = 'assistant' THEN char_end - 1 END AS mask_end
+            FROM placed
+        """,
     }
