@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import shared_dir, shuffle_partitions
+from veriloom.llm.common import shared_dir, shuffle_partitions, written
 from veriloom.llm.tokens import encoder, slices
 
 #: Ids of a chunk.
@@ -39,23 +39,21 @@ FILE = "kind string, part int, chunk long, first_id long, n_ids long, planes arr
 def shuffled(ids: np.ndarray, unit: str = "bit") -> list[bytes]:
     """The planes of 32-bit ids, lowest first, up to the highest that has a set bit."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    bits = int(ids.max(initial=0)).bit_length()
     if unit == "byte":
-        planes = [np.ascontiguousarray(raw[:, k]) for k in range(4)]
-    else:
-        planes = [np.packbits((raw[:, k // 8] >> (k % 8)) & 1, bitorder="little") for k in range(32)]
-    while planes and not planes[-1].any():
-        planes.pop()
-    return [x.tobytes() for x in planes]
+        return [raw[:, k].tobytes() for k in range(-(-bits // 8))]
+    low = [np.ascontiguousarray(raw[:, k]) for k in range(-(-bits // 8))]
+    return [np.packbits(low[k // 8] & np.uint8(1 << (k % 8)), bitorder="little").tobytes() for k in range(bits)]
 
 
 def restored(planes: list[bytes], n: int, unit: str = "bit") -> np.ndarray:
-    raw = np.zeros((n, 4), np.uint8)
+    raw = np.zeros((4, n), np.uint8)
     for k, plane in enumerate(planes):
         if unit == "byte":
-            raw[:, k] = np.frombuffer(plane, np.uint8)
+            raw[k] = np.frombuffer(plane, np.uint8)
         else:
-            raw[:, k // 8] |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little") << (k % 8)
-    return raw.reshape(-1).view("<u4")
+            raw[k // 8] |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little") << np.uint8(k % 8)
+    return np.ascontiguousarray(raw.T).reshape(-1).view("<u4")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -186,7 +184,8 @@ def read_crcs(spark: SparkSession, out: str, chunk: int = CHUNK, unit: str = "bi
     within = places.withColumn("chunk", F.explode(F.sequence(first, last)))
     of_chunk = within.groupBy("part", "chunk").agg(F.collect_list(F.struct("ordinal", "first_id", "n_tokens")).alias("docs"))
     chunks = rows.where("kind = 'chunk'").select("part", "chunk", "first_id", "n_ids", "planes").join(of_chunk, ["part", "chunk"])
-    pieces = chunks.mapInArrow(_restore(unit), "part int, ordinal long, at long, n long, crc long")
+    # restored once, for both kinds of documents below
+    pieces = written(chunks.mapInArrow(_restore(unit), "part int, ordinal long, at long, n long, crc long"), "crcs")
     joined = pieces.groupBy("part", "ordinal").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces"), F.sum("n").alias("found"))
     # nearly all documents lie in one chunk; only the others go through Python
     one = joined.where(F.size("pieces") == 1).select("part", "ordinal", "found", F.col("pieces")[0]["crc"].alias("ids_crc32"))

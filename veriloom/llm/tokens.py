@@ -20,38 +20,55 @@ CUT = "\x01"
 LOOSE = re.compile(r"[.,](?<![a-zA-Z0-9À-ÖØ-öø-ÿ][.,])")
 
 
+class Known(dict):
+    """Ids of pieces; None for one that ends in white space, which the next may belong to."""
+
+    #: Pieces of a generation.  Two are kept: a piece not met in the newer one is looked up in the older.
+    HELD = 700_000
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.older = tokenizer, {}
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if piece in self.older:
+            ids = self.older[piece]
+        else:
+            ids = None if piece[-1:].isspace() else array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > self.HELD:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    #: Pieces that are kept; beyond that the memory starts anew.
-    HELD = 600_000
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Ids of a piece; None if it ends in white space, which the next piece may belong to.
-        self.known: dict[str, bytes | None] = {}
+        self.known = Known(self.tokenizer)
 
     def library(self, texts: Sequence[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.HELD:
-            known.clear()
-        cut = [None if CUT in x or LOOSE.search(x) else x.replace(" ", "\x01 ").replace("\n", "\x01\n").replace(",", "\x01,").replace(".", "\x01.").split(CUT) for x in texts]
-        new = {piece for pieces in cut if pieces is not None for piece in pieces if piece not in known}
-        new = list(new)
-        for piece, ids in zip(new, self.library(new), strict=True):
-            known[piece] = None if piece[-1:].isspace() else ids
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
+        out, ids = [], self.known.__getitem__
+        for text in texts:
+            if CUT in text or LOOSE.search(text):
+                out += self.library([text])
+                continue
+            pieces = text.replace(" ", "\x01 ").replace("\n", "\x01\n").replace(",", "\x01,").replace(".", "\x01.").split(CUT)
             try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-            except TypeError:  # not cut, or a piece has no ids of its own
-                out.append(self.library([text])[0])
+                out.append(b"".join(map(ids, pieces)))
+            except TypeError:  # None
+                out += self.library([text])
+        self.known.age()
         return out
 
 
