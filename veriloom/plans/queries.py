@@ -1,0 +1,228 @@
+"""The engine's operators as queries over the given tables, with SQL for most."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veriloom.functions import prose, shell, text
+from veriloom.functions.redact import merged, redact, redacted, shortened
+from veriloom.operators import chain
+from veriloom.operators.asof import asof_join
+from veriloom.operators.labels import unique_labels
+from veriloom.plans import derived, oracles
+from veriloom.plans import reconcile as R
+from veriloom.sources import transcripts as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def asof_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = derived.evidence(spark, sf_dir)
+    return e.findings.select("session_id", "seq", "activity", "assertion", "sentence", "verdict", "reason", F.size("evidence").alias("runs_shown"))
+
+
+def observed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.evidence(spark, sf_dir).runs.select("session_id", "seq", "run_ord", "activity", "outcome", "basis", "exit_code", "command")
+
+
+def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = derived.evidence(spark, sf_dir).reports
+    return r.select("session_id", "verdict", "summary", "risk", "claims", "contradicted", "unsupported", "unknown", "verified", "runs", "execs", "edits", F.array_join("observed_activities", ",").alias("observed"))
+
+
+def branch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.branch_rows(derived.evidence(spark, sf_dir).reports)
+    return rows.select("label", "branch", "cwd", "verdict", "summary", "needs_attention", F.size("sessions").alias("n_sessions"), F.element_at("sessions", 1).alias("first_session"), "execs", "edits", "tokens")
+
+
+def risk_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.branch_rows(derived.evidence(spark, sf_dir).reports)
+    # one row per branch
+    place = F.row_number().over(Window.orderBy(R.rank(F.col("verdict")), F.col("execs").desc(), "row_ord"))
+    return rows.select(place.alias("place"), "label", "verdict", "execs")
+
+
+def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tally(derived.evidence(spark, sf_dir).findings)
+
+
+def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.branch_rows(derived.evidence(spark, sf_dir).reports)
+    each = [R.violations(rows, p).groupBy().agg(F.count(F.lit(1)).alias("violations")).select(F.lit(p).alias("policy"), "violations") for p in R.POLICIES]
+    out = each[0]
+    for one in each[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def report_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = R.digest(derived.evidence(spark, sf_dir).findings)
+    return d.select("session_id", "verdict", "sentence", F.array_join("activities", ",").alias("activities"), F.size("evidence").alias("runs_shown"), F.array_join(F.transform("evidence", lambda e: e["command"]), "|").alias("commands"))
+
+
+def later_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that only later runs could support, with the first three of these."""
+    f = derived.evidence(spark, sf_dir).findings.where(F.col("reason").contains("only after this statement"))
+    return f.select("session_id", "seq", "activity", F.array_join(F.transform("evidence", lambda e: e["seq"].cast("string")), ",").alias("run_seqs"))
+
+
+def transcript_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.normalize(derived.transcripts(spark, sf_dir))
+    return t.sessions.select("session_id", "cwd", "git_branch", "started_at", "ended_at", "input_tokens", "output_tokens", "unparsed_lines")
+
+
+def transcript_execs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool results paired with the last use of their id; failures carry their exit code."""
+    t = T.normalize(derived.transcripts(spark, sf_dir))
+    session = F.regexp_extract("file", r"/s/(.*)\.jsonl$", 1)
+    return t.execs.select(session.alias("session_id"), "seq", "tool_use_id", "command", "stdout", "exit_code", "outcome")
+
+
+def transcript_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.normalize(derived.transcripts(spark, sf_dir))
+    claims = R.extract_claims(t.utterances.withColumn("session_id", F.regexp_extract("file", r"/s/(.*)\.jsonl$", 1)))
+    return claims.select("session_id", "seq", "activity", "assertion", "sentence")
+
+
+def asof_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each urgent order with the last other order of its customer on or before its date."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    urgent, rest = orders.where("o_orderpriority = '1-URGENT'"), orders.where("o_orderpriority <> '1-URGENT'")
+    met = asof_join(urgent, rest, ["o_custkey"], "o_orderdate", "o_orderkey", ["o_orderkey", "o_orderpriority"], "last")
+    return met.select("o_orderkey", "o_custkey", F.col("last.o_orderkey").alias("last_orderkey"), F.col("last.o_orderpriority").alias("last_priority"))
+
+
+_COMMANDS = {
+    "pytest -q": "test", "FOO=1 sudo -E pytest": "test", "npm run test:unit": "test", "make check": "test", "make": "build", "make lint": "other",
+    "npm run type-check": "typecheck", "cargo +nightly check": "typecheck", "ruff check .": "lint", "go vet ./...": "lint", "docker buildx build .": "build",
+    "npm ci": "install", "pip3 install x": "install", "npx prisma migrate deploy": "migrate", "python3 manage.py migrate": "migrate", "grep -r pytest .": "other",
+    "echo \"run the tests\"": "other", "uv run pytest": "other", "( time tox": "test", "env A='b c' vite build": "build",
+}
+
+
+def classify_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = F.array(*[F.lit(c) for c in _COMMANDS])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.element_at(commands, (F.col("p_partkey") % len(_COMMANDS) + 1).cast("int")), F.lit(" "), F.col("p_size").cast("string")).alias("command"))
+    return rows.select("p_partkey", shell.activity(shell.strip_prefix(F.col("command"))).alias("activity"), shell.strip_prefix(F.col("command")).alias("stripped"))
+
+
+def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands made of order fields, with quotes, redirections and every separator."""
+    o = table(spark, sf_dir, "orders")
+    key, sep = F.col("o_orderkey"), F.element_at(F.array(*[F.lit(s) for s in (" && ", " || ", " ; ", " | ", " |& ", " & ", "\n")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    command = F.concat(F.lit("run-"), key.cast("string"), F.lit(" 2>&1"), sep, F.lit("grep \"a|b;c\" "), F.col("o_orderstatus"), F.lit(" | tail &> log"))
+    each = o.select("o_orderkey", F.posexplode(shell.split_segments(command)).alias("pos", "s"))
+    return each.select("o_orderkey", "pos", "s.text", "s.pipe_index", "s.last_in_pipe")
+
+
+def output_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    n = (F.col("p_partkey") % 4).cast("string")
+    out = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Tests: "), n, F.lit(" failed, 3 passed"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Found "), n, F.lit(" errors"))).otherwise(F.col("p_name"))
+    return p.select("p_partkey", *[shell.output_verdict(out, F.lit(a)).alias(a) for a in ("test", "lint", "build", "migrate")])
+
+
+def _assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    told = F.array(*[F.lit(s) for s in derived.SAID.values()])
+    added = F.element_at(told, ((F.col("conv_id") + F.col("turn")) % len(derived.SAID) + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat("text", F.lit("\n```\nAll tests pass.\n```\n| The build passes. |\n"), added).alias("text"))
+
+
+def prose_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _assistant(spark, sf_dir).select("conv_id", "turn", F.posexplode(prose.sentences(prose.strip_non_prose(F.col("text")))).alias("pos", "sentence"))
+    return rows.select("conv_id", "turn", "pos", "sentence", prose.may_claim(F.col("sentence")).alias("may_claim"))
+
+
+def prose_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _assistant(spark, sf_dir).select("conv_id", "turn", F.explode(prose.claims(F.col("text"))).alias("c"))
+    return rows.select("conv_id", "turn", "c.activity", "c.assertion", "c.sentence")
+
+
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", redacted("text").alias("r")).select("doc_id", F.sha2("r.text", 256).alias("sha"), F.coalesce(F.col("r.counts")["sensitive-key"], F.lit(0)).alias("sensitive"))
+
+
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged(table(spark, sf_dir, "documents").select(redacted("text").alias("r")).select(F.col("r.counts").alias("counts")), "counts")
+
+
+def utf8_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import types as Y
+
+    cut = F.pandas_udf(lambda s: s.map(lambda x: x and shortened(x, 2000)[0]), Y.StringType())
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(cut("text")).alias("chars"), F.octet_length("text").alias("bytes"))
+
+
+def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.round(text.entropy(F.col("url")), 6).alias("entropy"))
+
+
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_escape(h)).alias("escaped"), F.md5(text.json_script(h)).alias("script"), F.md5(text.workflow_data(h)).alias("data"), F.md5(text.workflow_property(h)).alias("property"))
+
+
+def encode_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", text.encode_path(url).alias("folder"), text.strip_ansi(F.concat(F.lit("\x1b[32m"), url, F.lit("\x1b[0m"))).alias("plain"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").alias("c").join(table(spark, sf_dir, "nation").alias("n"), F.col("c_nationkey") == F.col("n_nationkey"))
+    path = F.concat(F.lit("/"), F.col("n_name"), F.lit("/"), F.col("c_mktsegment"), F.lit("/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/app"), (F.col("c_custkey") % 40).cast("string"))
+    return unique_labels(c.select(path.alias("path")), "path")
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", F.col("event_type"), F.col("props")).alias("payload"))
+    return chain.extend(e, ["event_id"])
+
+
+def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark, sf_dir).agg(F.count(F.lit(1)).alias("events"), F.max_by("hash", "id").alias("head"))
+
+
+def chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows at which a chain breaks whose every 1000th payload was changed, and one event in 2500 removed."""
+    changed = _chain(spark, sf_dir).where("event_id % 2500 <> 7").withColumn("payload", F.when(F.col("event_id") % 1000 == 3, "changed").otherwise(F.col("payload")))
+    return chain.breaks(changed).select("id")
+
+
+def anti_join_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are new or whose price changed since a state that had two of three."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("size"), F.col("o_orderdate").cast("string").alias("at"))
+    seen = o.where("o_orderkey % 3 <> 0").withColumn("size", F.when(F.col("o_orderkey") % 5 == 0, F.col("size") - 1).otherwise(F.col("size")))
+    return o.join(seen, ["o_orderkey", "size", "at"], "left_anti").select("o_orderkey", "size")
+
+
+def highwater_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events later than the last one of their user that was stored by a cut."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    high = e.where("event_id % 1000 < 700").groupBy("user_id").agg(F.max("event_id").alias("high"))
+    return e.join(high, "user_id", "left").where(F.col("event_id") > F.coalesce("high", F.lit(-1))).select("user_id", "event_id")
+
+
+def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' old segment kept where the new one is missing; balances overwritten."""
+    c = table(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("old_segment"), F.lit(0).cast("double").alias("old_bal"))
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lower("c_mktsegment")).alias("segment"), "c_acctbal")
+    met = old.join(new, "c_custkey", "full")
+    return met.select("c_custkey", F.coalesce("segment", "old_segment").alias("segment"), F.coalesce("c_acctbal", "old_bal").alias("balance"))
+
+
+def queries() -> dict[str, Query]:
+    own = [asof_verdict, observed_runs, session_reports, branch_rollup, risk_queue, verdict_tally, policy_gate, report_digest, later_runs, transcript_sessions, transcript_execs, transcript_claims, asof_join_orders, classify_command, split_segments, output_signs, prose_sentences, prose_claims, redact_text, redaction_counts, utf8_truncate, entropy, html_escape, encode_path, labels, chain_build, chain_breaks, anti_join_seen, highwater_append, upsert_coalesce]
+    return {q.__name__: q for q in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.SQL | {"classify_command": oracles.classified(_COMMANDS)}
