@@ -53,19 +53,20 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: i
         score = q @ m.T
     else:
         whole = [[int(x) for x in row] for row in q], [[int(x) for x in row] for row in m]
-        score = np.array([[sum(a * b for a, b in zip(x, y, strict=True)) for y in whole[1]] for x in whole[0]], object)
-        if len(score) and abs(score).max() >= 2**63:
+        score = np.array([[0 if j == i else sum(a * b for a, b in zip(x, y, strict=True)) for j, y in zip(ids, whole[1], strict=True)] for i, x in zip(q_ids, whole[0], strict=True)], object)
+        if score.size and abs(score).max() >= 2**63:
             raise ValueError("an inner product exceeds 64 bits")
     for i in range(len(q)):
         row, other = score[i], ids != q_ids[i]
         row, own = row[other], ids[other]
         if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
+            least = np.sort(row)[len(row) - k] if row.dtype == object else np.partition(row, len(row) - k)[len(row) - k]
             near = np.flatnonzero(row >= least)
         else:
             near = np.arange(len(row))
-        near = near[np.lexsort((own[near], -row[near]))[:k]]
-        yield np.full(len(near), q_ids[i]), own[near], row[near].astype(np.int64)
+        best = row[near].astype(np.int64)
+        order = np.lexsort((own[near], -best))[:k]
+        yield np.full(len(order), q_ids[i]), own[near][order], best[order]
 
 
 def _tiles(k: int, shard_rows: int):
