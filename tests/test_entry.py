@@ -51,7 +51,7 @@ PROSE = {
 
 def test_claims(spark):
     df = spark.createDataFrame([(t,) for t in PROSE], "t string")
-    got = {r["t"]: [(c["activity"], c["assertion"], c["sentence"]) for c in r["c"]] for r in df.select("t", prose.claims(F.col("t")).alias("c")).collect()}
+    got = {r["t"]: [(c["activity"], c["assertion"], c["sentence"]) for c in r["c"]] for r in prose.with_claims(df, "t", "c").collect()}
     long = "The étests pass " + "x" * 300
     assert got.pop(long) == [("test", "pass", long[:217] + "…")]  # a word boundary follows é, as it is no ASCII letter
     assert got == {k: v for k, v in PROSE.items() if k != long}

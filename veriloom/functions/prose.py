@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions import patterns as P
@@ -40,9 +40,8 @@ def clipped(sentence: Column) -> Column:
     return F.when(units(sentence) > P.QUOTED, F.concat(F.substring(sentence, 1, P.QUOTED - 3), F.lit("…"))).otherwise(sentence)
 
 
-def _claim(said: Column, name: str, own: list[tuple]) -> Column:
-    """The claim of one activity, or null."""
-    hits = F.filter(said, lambda s: matches(s["text"], *[p for _, _, p in own]))
+def _claim(hits: Column, name: str, own: list[tuple]) -> Column:
+    """The claim of one activity from the sentences that match it, or null."""
     first = F.get(hits, F.lit(0))
     place = F.coalesce(*[F.when(matches(first["text"], p), k) for k, _, p in own])
     passes = F.exists(hits, lambda s: matches(s["text"], *[p for _, a, p in own if a == "pass"]))
@@ -50,12 +49,19 @@ def _claim(said: Column, name: str, own: list[tuple]) -> Column:
     return F.when(F.size(hits) > 0, claim)
 
 
-def claims(text: Column) -> Column:
-    """array<struct<spos, ppos, activity, assertion, sentence>>, one per activity, in order of first match.
+def with_claims(df: DataFrame, text: str, into: str = "claims") -> DataFrame:
+    """``df`` with an array<struct<spos, ppos, activity, assertion, sentence>>, one per
+    activity, in order of first match.
 
     The first matching sentence is quoted; a pass asserted by any sentence counts.
+    The steps are columns of their own, so each sentence is matched once.
     """
-    all_ = F.transform(sentences(strip_non_prose(text)), lambda s, i: F.struct(i.alias("spos"), s.alias("text")))
-    said = F.filter(all_, lambda s: may_claim(s["text"]))
-    found = [_claim(said, name, [(k, a, (p, "i")) for k, (n, a, p) in enumerate(P.CLAIMS) if n == name]) for name in P.CLAIMABLE]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    own = {name: [(k, a, (p, "i")) for k, (n, a, p) in enumerate(P.CLAIMS) if n == name] for name in P.CLAIMABLE}
+    all_ = F.transform(sentences(strip_non_prose(F.col(text))), lambda s, i: F.struct(i.alias("spos"), s.alias("text")))
+    # sentences about an activity are few, so that is asked before the long lists of words
+    every = [p for name in own for _, _, p in own[name]]
+    df = df.withColumn("_said", F.filter(all_, lambda s: matches(s["text"], *every) & may_claim(s["text"])))
+    hits = {f"_{name}": F.filter("_said", lambda s: matches(s["text"], *[p for _, _, p in own[name]])) for name in own}  # noqa: B023
+    df = df.withColumns(hits)
+    found = F.array_sort(F.array_compact(F.array(*[_claim(F.col(f"_{name}"), name, own[name]) for name in own])))
+    return df.withColumn(into, found).drop("_said", *hits)

@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriloom.functions import patterns as P
-from veriloom.functions.regex import portable
+from veriloom.functions.regex import EDGE, portable
 
 HELD_BYTES, HEAD_SHARE = 8192, 0.4
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType())), T.StructField("truncated", T.BooleanType())])
 
 
 def _compiled(pattern: str, flags: str = "") -> re.Pattern:
-    return re.compile(portable(pattern), re.ASCII | (re.IGNORECASE if "i" in flags else 0))
+    # with re.ASCII, Python's own word boundary has the meaning wanted here
+    return re.compile(portable(pattern).replace(EDGE, r"\b"), re.ASCII | (re.IGNORECASE if "i" in flags else 0))
 
 
 RULES = [(kind, _compiled(pattern, flags), group) for kind, pattern, flags, group in P.SECRETS]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space: code points, and ranges of them.
 SPACE = ["\t", "\n", "\v", "\f", "\r", " ", "\u00a0", "\u1680", ("\u2000", "\u200a"), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff"]
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def _spaces() -> str:
@@ -27,7 +27,7 @@ def portable(pattern: str, lines: bool = False) -> str:
     while at < len(pattern):
         two = pattern[at : at + 2]
         if two[0] == "\\" and len(two) == 2:
-            out.append({"\\s": spaces if within else f"[{spaces}]", "\\S": f"[^{spaces}]", "\\b": "\\x08" if within else _EDGE, "\\d": "0-9" if within else "[0-9]", "\\w": "A-Za-z0-9_" if within else "[A-Za-z0-9_]"}.get(two, two))
+            out.append({"\\s": spaces if within else f"[{spaces}]", "\\S": f"[^{spaces}]", "\\b": "\\x08" if within else EDGE, "\\d": "0-9" if within else "[0-9]", "\\w": "A-Za-z0-9_" if within else "[A-Za-z0-9_]"}.get(two, two))
             at += 2
             continue
         c = two[0]

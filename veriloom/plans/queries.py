@@ -142,7 +142,7 @@ def prose_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _assistant(spark, sf_dir).select("conv_id", "turn", F.explode(prose.claims(F.col("text"))).alias("c"))
+    rows = prose.with_claims(_assistant(spark, sf_dir), "text").select("conv_id", "turn", F.explode("claims").alias("c"))
     return rows.select("conv_id", "turn", "c.activity", "c.assertion", "c.sentence")
 
 

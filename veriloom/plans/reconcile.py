@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import patterns as P
-from veriloom.functions.prose import claims as claims_of
+from veriloom.functions.prose import with_claims
 from veriloom.functions.shell import analyze, outcome, output_verdict
 from veriloom.functions.text import strip_ansi
 from veriloom.operators.asof import asof_join
@@ -48,7 +48,7 @@ def observed_runs(execs: DataFrame) -> DataFrame:
 
 def extract_claims(utterances: DataFrame) -> DataFrame:
     """session_id, seq, ts, claim_ord, activity, assertion, sentence."""
-    each = utterances.select("session_id", "seq", "block", "ts", F.explode(claims_of(F.col("text"))).alias("c"))
+    each = with_claims(utterances.select("session_id", "seq", "block", "ts", "text"), "text").select("session_id", "seq", "block", "ts", F.explode("claims").alias("c"))
     order = F.struct("seq", "block", F.col("c.spos").alias("spos"), F.col("c.ppos").alias("ppos"))
     return each.select("session_id", "seq", "ts", order.alias("claim_ord"), "c.activity", "c.assertion", "c.sentence")
 
