@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import shared_dir, shuffle_partitions, written
+from veriloom.llm.common import arrow_rows, releasing, shared_dir, shuffle_partitions, written
 from veriloom.llm.tokens import encoder, slices
 
 #: Ids of a chunk.
@@ -102,7 +102,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end: int, id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = parts or shuffle_partitions(docs.sparkSession)
     order = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    order.mapInArrow(_encode(path, end, chunk, unit), FILE).write.partitionBy("kind").parquet(out)
+    with arrow_rows(docs.sparkSession, 2000):
+        order.mapInArrow(releasing(_encode(path, end, chunk, unit)), FILE).write.partitionBy("kind").parquet(out)
 
 
 def read_documents(spark: SparkSession, out: str) -> DataFrame:
@@ -185,7 +186,7 @@ def read_crcs(spark: SparkSession, out: str, chunk: int = CHUNK, unit: str = "bi
     of_chunk = within.groupBy("part", "chunk").agg(F.collect_list(F.struct("ordinal", "first_id", "n_tokens")).alias("docs"))
     chunks = rows.where("kind = 'chunk'").select("part", "chunk", "first_id", "n_ids", "planes").join(of_chunk, ["part", "chunk"])
     # restored once, for both kinds of documents below
-    pieces = written(chunks.mapInArrow(_restore(unit), "part int, ordinal long, at long, n long, crc long"), "crcs")
+    pieces = written(chunks.mapInArrow(_restore(unit), "part int, ordinal long, at long, n long, crc long"), "crcs", rows=64)
     joined = pieces.groupBy("part", "ordinal").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces"), F.sum("n").alias("found"))
     # nearly all documents lie in one chunk; only the others go through Python
     one = joined.where(F.size("pieces") == 1).select("part", "ordinal", "found", F.col("pieces")[0]["crc"].alias("ids_crc32"))

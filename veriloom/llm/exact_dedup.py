@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import split_hot, written
+from veriloom.llm.common import releasing, split_hot, written
 
 OWNER = "sha string, len long, keep_id long, group_size long, spill string, norm binary"
 #: Distinct digests that a map task holds before it hands their counts on.
@@ -217,11 +217,11 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     is inserted in a further round.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    todo = rows.mapInArrow(_distinct, "sha string, len long, min_id long, n long, norm binary")
+    todo = rows.mapInArrow(releasing(_distinct), "sha string, len long, min_id long, n long, norm binary")
     todo = todo.withColumn("part", F.xxhash64("len", "sha"))
     done = None
     while True:
-        made = written(todo.repartition("part").mapInArrow(_tries(budget), OWNER), "owners")
+        made = written(todo.repartition("part").mapInArrow(releasing(_tries(budget)), OWNER), "owners")
         settled = made.where("spill is null").select("sha", "len", "keep_id", "group_size")
         done = settled if done is None else done.unionByName(settled)
         rest = made.where("spill is not null")
@@ -246,7 +246,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = owners(docs, id_col, text_col, budget)
     copied = own.where("group_size > 1")
     total = docs.count()
-    ids = rows.mapInArrow(_digests, "doc_id long, sha string, len long")
+    ids = rows.mapInArrow(releasing(_digests), "doc_id long, sha string, len long")
     met = split_hot(ids, ["sha", "len"], copied, "group_size", total)
     return met.select(
         "doc_id",

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import crc_mod
+from veriloom.llm.common import crc_mod, releasing
 from veriloom.llm.ngrams import counts
 
 BITS = 13
@@ -78,7 +78,7 @@ def _plain(text: bytes) -> bytes:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model from all rows with a text and a language."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sums = rows.mapInArrow(_summed, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(releasing(_summed), "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     per = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"]).alias("n"))
     got = {r["lang"]: np.array(r["n"]) for r in per.limit(MOST + 1).collect()}
     if len(got) > MOST:
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     """``keep`` columns with lang_pred, score and ambiguous."""
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_predict(model), f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(releasing(_predict(model)), f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(id_col: str = "doc_id", divisor: int = 4, rest: int = 2) -> Column:

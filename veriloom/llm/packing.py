@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import written
+from veriloom.llm.common import releasing, written
 from veriloom.llm.tokens import encoder, slices
 
 #: Pieces of one packing task.
@@ -137,4 +137,4 @@ def packed(pieces: DataFrame, capacity: Capacity = Capacity(), block: int = BLOC
 def pack(docs: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), block: int = BLOCK) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return packed(written(rows.mapInArrow(_pieces(path, end, capacity.tokens), PIECE), "pieces"), capacity, block)
+    return packed(written(rows.mapInArrow(releasing(_pieces(path, end, capacity.tokens)), PIECE), "pieces"), capacity, block)

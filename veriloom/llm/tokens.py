@@ -24,7 +24,7 @@ class Known(dict):
     """Ids of pieces; None for one that ends in white space, which the next may belong to."""
 
     #: Pieces of a generation.  Two are kept: a piece not met in the newer one is looked up in the older.
-    HELD = 700_000
+    HELD = 150_000
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
