@@ -251,6 +251,43 @@ def test_near_dedup(spark, odd, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def grouped(of):
+    out = defaultdict(set)
+    for i, c in of.items():
+        out[c].add(i)
+    return sorted(map(sorted, out.values()))
+
+
+def test_near_dedup_crowded_bucket(spark):
+    """All alike pairs of one bucket are found, however many members are alike to none or one."""
+    rows = []
+    for k in range(60):
+        base = words(80, 3000 + k)
+        for t in (base, base + " more"):
+            code = near_dedup.Words()(t.split())
+            rows.append((k, f"{k:03}{t[-4:]}".encode(), len(near_dedup.kmers(code)), [1], bytearray(code.tobytes())))
+    df = spark.createDataFrame(rows, "doc_id long, node binary, n int, buckets array<long>, words binary")
+    roots = near_dedup.classes(df)
+    got = defaultdict(set)
+    for r in roots.collect():
+        got[bytes(r["root"])].add(bytes(r["node"])[:3])
+    assert len(got) == 60 and all(len(own) == 1 for own in got.values())
+
+
+def test_near_dedup_chained(spark):
+    """A family whose members are mostly under the threshold to each other, against brute force."""
+    r, rows = random.Random(8), []
+    texts = [words(100, 4000).split()]
+    for k in range(1, 300):
+        own = list(texts[r.randrange(max(0, k - 60), k)])
+        for _ in range(r.randint(1, 5)):
+            own[r.randrange(len(own))] = "changed" + str(k)
+        texts.append(own)
+    rows = [(k, " ".join(t), "en", "s") for k, t in enumerate(texts)]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_dedup(table(spark, rows)).collect()}
+    assert grouped(got) == grouped(brute_near(rows))
+
+
 def test_chain_keeps_order():
     a = near_dedup.kmers(near_dedup.Words()(words(200, 1).split()))
     assert near_dedup.chain(a, a) == 1.0

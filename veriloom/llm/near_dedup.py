@@ -8,10 +8,11 @@ tuples.  Candidates are verified by banded alignment: the longest chain of commo
 k-mers that keeps their order in both texts, within the band of diagonals that a
 similarity of 0.8 allows.  The similarity is chain / (a + b - chain).
 
-Equal texts are one node.  Buckets never emit all pairs: their members meet hubs
-(members of least hash).  After a round, linked nodes form classes, a bucket is
-represented by one member of each class, another one in each bucket and round, and
-these meet more hubs; a round that finds no link ends the search.
+Equal texts are one node.  The members of a bucket meet its hubs (members of least
+hash) in rounds, each with more hubs than the one before.  After a round, linked
+nodes form classes; members of one class don't meet again, and a hub, which has met
+all, leaves its bucket.  A bucket ends when its members are of one class, so any two
+members of different classes have met, unless their lengths rule out a likeness.
 
 Results in the odd cases: null text counts as empty; texts without words are one
 class; texts with fewer than three k-mers are alike only if equal in their words;
@@ -42,8 +43,10 @@ BANDS = 32
 #: k-mers in a tuple: of texts with at least LONG k-mers, and of those with at most BRIEF.
 LENGTH, BRIEF_LENGTH = 6, 3
 LONG, BRIEF = 40, 50
-#: Hubs of a bucket in the first, second and all further rounds.
-HUBS = (1, 4, 8)
+#: Hubs of a bucket in the first, second and so on, and in all further rounds.
+HUBS = (1, 8, 64, 512)
+#: Bytes of words that may be broadcast; beyond that texts are joined by shuffle.
+SMALL = 8 << 20
 
 
 ODD = np.random.default_rng(11).integers(1 << 32, 1 << 63, (BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,9 +186,9 @@ def _needed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame | None:
     """node, root of the nodes that are linked to others, or None if none is.
 
-    In each round a bucket is represented by one member of each class that meets in
-    it (another one in each round and bucket); they meet its hubs.  New links join
-    classes, buckets within one class are done, and a round without a new link ends.
+    In each round the members of a bucket meet those of its hubs that are of another
+    class and of a fitting length; new links join classes.  Hubs leave, and buckets
+    within one class are done; the search ends when no bucket is left.
     """
     spark = rows.sparkSession
     texts = rows.where("words is not null").select("node", "n", "words")
@@ -195,28 +198,29 @@ def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame | None:
     words = written(_needed(texts, members.select("node")).select("node", "words"), "words")
     pairs_dir, level, known, roots = f"{shared_dir(spark)}/veriloom/pairs-{uuid.uuid4().hex}", 0, 0, None
     while not members.isEmpty():
-        order = F.xxhash64("node") if level == 0 else F.xxhash64(F.lit(level), "bucket", "node")
-        met = members
-        if level:
-            met = members.groupBy("bucket", "root").agg(F.min_by(F.struct("node", "n"), order).alias("r")).select("bucket", "root", "r.*")
         # the least by hash in each of several slices: partial aggregates, no sort of a bucket
         slot = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(HUBS[min(level, len(HUBS) - 1)])).alias("slot")
-        hub = met.groupBy("bucket", slot).agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n")), order).alias("h")).select("bucket", "h.*")
-        pairs = met.join(hub, "bucket").where((F.col("node") != F.col("hub")) & (F.least("n", "hub_n") >= alike * F.greatest("n", "hub_n")))
+        least = F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")), F.xxhash64("node"))
+        hub = written(members.groupBy("bucket", slot).agg(least.alias("h")).select("bucket", "h.*"), "hubs")
+        pairs = members.join(hub, "bucket").where((F.col("root") != F.col("hub_root")) & (F.least("n", "hub_n") >= alike * F.greatest("n", "hub_n")))
         pairs = pairs.select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b")).distinct()
         if level:
             pairs = pairs.join(spark.read.schema(PAIR).parquet(pairs_dir).select("a", "b"), ["a", "b"], "left_anti")
         first, second = words.select(F.col("node").alias("a"), F.col("words").alias("a_words")), words.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
+        if (words.agg(F.sum(F.length("words"))).first()[0] or 0) <= SMALL:
+            first, second = F.broadcast(first), F.broadcast(second)
         scored = pairs.join(second, "b").join(first, "a").sortWithinPartitions("a")
         with arrow_rows(spark, 256):  # a row holds two whole texts
             scored.mapInArrow(releasing(_verified(alike)), PAIR).write.mode("append").parquet(pairs_dir)
         found = spark.read.schema(PAIR).parquet(pairs_dir).where("similarity > 0").select("a", "b")
         now = found.count()
-        if now == known:
-            break
-        known, level, roots = now, level + 1, written(components(found), "roots")
-        joined = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        members = written(_open(joined), "members")
+        if now != known:
+            known, roots = now, written(components(found), "roots")
+        left = members.join(hub.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        if roots is not None:
+            left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members, level = written(_open(left), "members"), level + 1
+        words = written(_needed(words, members.select("node")), "words")
     return roots
 
 
