@@ -295,6 +295,31 @@ def test_chain_keeps_order():
     assert near_dedup.chain(a, turned) == 0.0
 
 
+def brute_chain(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for k, y in enumerate(b):
+            row.append(before[k] + 1 if x == y else max(before[k + 1], row[k]))
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_chain_of_repeats(spark):
+    """Repeated passages may match any of their occurrences."""
+    code = lambda t: near_dedup.shingles(near_dedup.Words()(t.split()))
+    r, u, x = words(24, 11), words(80, 12), words(80, 13)
+    a, b = " ".join([r, u, r, x]), " ".join([u, r, x])
+    assert near_dedup.chain(code(a), code(b)) == pytest.approx(brute_chain(code(a), code(b))) and brute_chain(code(a), code(b)) > 0.88
+    assert len({d["class_id"] for d in near_dedup.near_dedup(table(spark, [(1, a, "en", "s"), (2, b, "en", "s")])).collect()}) == 1
+    draw = random.Random(9)
+    for _ in range(400):
+        one = [draw.randrange(draw.choice((3, 40))) for _ in range(draw.randint(1, 90))]
+        two = [v for v in one if draw.random() > 0.1]
+        two.insert(draw.randint(0, len(two)), draw.randrange(50))
+        want = brute_chain(one, two)
+        assert near_dedup.chain(np.array(one, np.uint64), np.array(two, np.uint64)) == pytest.approx(want if want >= 0.8 else 0.0)
+
+
 def brute_top(rows, k):
     usable = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

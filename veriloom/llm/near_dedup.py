@@ -1,12 +1,13 @@
 """Near-duplicate detection by Order MinHash.
 
-A text's k-mers are its shingles of five lower-cased words, each labelled with
-how often it came before, so all k-mers of a text differ.  For each of BANDS hash
+A text's k-mers are its shingles of five lower-cased words.  For the sketch each is
+labelled with how often it came before, so all of a text differ.  For each of BANDS hash
 functions the k-mers with the LENGTH smallest values are taken in text order;
 texts that agree on such a tuple share a bucket.  Texts of few words use shorter
-tuples.  Candidates are verified by banded alignment: the longest chain of common
-k-mers that keeps their order in both texts, within the band of diagonals that a
-similarity of 0.8 allows.  The similarity is chain / (a + b - chain).
+tuples.  Candidates are verified by alignment: the longest chain of common k-mers,
+without labels, that keeps their order in both texts (a longest common subsequence;
+one that reaches a similarity of 0.8 can't leave the band of diagonals that this
+allows).  The similarity is chain / (a + b - chain).
 
 Equal texts are one node.  The members of a bucket meet its hubs (members of least
 hash) in rounds, each with more hubs than the one before.  After a round, linked
@@ -26,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ LENGTH, BRIEF_LENGTH = 6, 3
 LONG, BRIEF = 40, 50
 #: Hubs of a bucket in the first, second and so on, and in all further rounds.
 HUBS = (1, 8, 64, 512)
+#: K-mers that a task verifying pairs remembers.
+HELD = 1_000_000
 #: Bytes of words that may be broadcast; beyond that texts are joined by shuffle.
 SMALL = 8 << 20
 
@@ -76,18 +78,24 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
-    """The occurrence-labelled k-mers of a text in order, as 64-bit hashes."""
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The k-mers of a text in order, as 64-bit hashes; equal ones repeat."""
     w, n = words.astype(np.uint64), max(1, len(words) - WORDS + 1) if len(words) else 0
     code = np.zeros(n, np.uint64)
     for k in range(WORDS):
         part = w[k : k + n]
         code[: len(part)] = spread(code[: len(part)] + part * MIX[k])
+    return code
+
+
+def kmers(words: np.ndarray) -> np.ndarray:
+    """The occurrence-labelled k-mers of a text in order, as 64-bit hashes."""
+    code = shingles(words)
     order = np.argsort(code, kind="stable")
     same = np.concatenate([[False], code[order][1:] == code[order][:-1]])
-    place = np.arange(n)
+    place = np.arange(len(code))
     first = np.maximum.accumulate(np.where(same, 0, place))
-    seen = np.empty(n, np.uint64)
+    seen = np.empty(len(code), np.uint64)
     seen[order] = (place - first).astype(np.uint64)
     return spread(code + seen * MIX[2])
 
@@ -111,31 +119,63 @@ def sketch(code: np.ndarray) -> list[int]:
 
 
 def chain(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> float:
-    """Similarity by banded alignment, or 0 if it is under ``alike``."""
-    from bisect import bisect_left
-
+    """Similarity by alignment, or 0 if it is under ``alike``."""
     both = len(a) + len(b)
     least = int(np.ceil(alike * both / (1 + alike) - 1e-9))
     if min(len(a), len(b)) < least or not both:
         return 0.0
-    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = both - 2 * least
-    near = np.abs(at_a - at_b) <= band
-    at_a, at_b = at_a[near], at_b[near]
-    if len(at_a) < least:
-        return 0.0
-    at_b = at_b[np.argsort(at_a)]
-    if (np.diff(at_b) > 0).all():
-        size = len(at_b)
-    else:
-        tails: list[int] = []
-        for x in at_b.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        size = len(tails)
+    # a common start and end belong to some longest common subsequence
+    ends = 0
+    for step in (1, -1):
+        n = min(len(a), len(b))
+        same = a[::step][:n] == b[::step][:n]
+        lead = n if same.all() else int(same.argmin())
+        a, b, ends = (a[lead:], b[lead:], ends + lead) if step == 1 else (a[: len(a) - lead], b[: len(b) - lead], ends + lead)
+    size = ends + _common(a, b, least - ends)
     return size / (both - size) if size >= least else 0.0
 
 
+def _common(a: np.ndarray, b: np.ndarray, least: int) -> int:
+    """Length of the longest common subsequence, or less than ``least`` if that is out of reach."""
+    from bisect import bisect_left
+
+    codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    in_a, in_b = np.bincount(at[: len(a)], minlength=len(codes)), np.bincount(at[len(a) :], minlength=len(codes))
+    shared = np.minimum(in_a, in_b)
+    if shared.sum() < least or not shared.any():
+        return 0
+    x, y = at[: len(a)], at[len(a) :]
+    x, y = x[shared[x] > 0], y[shared[y] > 0]
+    if len(x) == len(y) == shared.sum() and shared.max() == 1:
+        place = np.empty(len(codes), np.int64)
+        place[y] = np.arange(len(y))
+        tails: list[int] = []
+        for p in place[x].tolist():
+            k = bisect_left(tails, p)
+            tails[k : k + 1] = [p]
+        return len(tails)
+    return _bits(x, y)
+
+
+def _bits(x: np.ndarray, y: np.ndarray, few: int = 64) -> int:
+    """The same, for repeated codes: a row of the alignment is one integer of ``len(y)`` bits."""
+    order = np.argsort(y, kind="stable")
+    cuts = np.flatnonzero(np.diff(y[order])) + 1
+    places = {int(y[p[0]]): p.tolist() for p in np.split(order, cuts)}
+    held: dict[int, int] = {}  # rows of frequent codes; there are at most len(y) / few of them
+    full = (1 << len(y)) - 1
+    row = full
+    for code in x.tolist():
+        match = held.get(code)
+        if match is None:
+            match = sum(1 << p for p in places[code])
+            if len(places[code]) >= few:
+                held[code] = match
+        kept = row & match
+        row = ((row + kept) | (row - kept)) & full
+    return len(y) - row.bit_count()
+
+
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with its text's digest; each distinct text of a task with its sketch and words."""
     own, seen = Words(), set()
@@ -165,9 +205,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _verified(alike: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(256)
+        known: dict[bytes, np.ndarray] = {}
+        held = 0
+
         def code(words: bytes) -> np.ndarray:
-            return kmers(np.frombuffer(words, np.uint32))
+            nonlocal held
+            if (out := known.get(words)) is None:
+                if held > HELD:
+                    known.clear()
+                    held = 0
+                known[words] = out = shingles(np.frombuffer(words, np.uint32))
+                held += len(out)
+            return out
 
         for batch in batches:
             score = [chain(code(a), code(b), alike) for a, b in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist(), strict=True)]
