@@ -390,6 +390,18 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_wrapped_and_full(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n"
+    gpl = " * This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General\n * Public License as published by the Free Software\n * Foundation.\n"
+    rows = [(1, "a/x.py", "# file\n" + bsd + words(300, 21)), (2, "b/y.c", "/*\n" + gpl + " */\n" + words(300, 22)), (3, "c/z.txt", words(80, 23))]
+    rows += [(10 + k, f"d{k}/LICENSE", "Copyright 2020 A. Person\n\n" + text) for k, text in enumerate(licenses.FULL.values())]
+    rows += [(100 + k, None, words(60, 800 + k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(df).collect()}
+    assert got[1] == ("BSD-3-Clause", "header") and got[2] == ("GPL-3.0", "header") and got[3] == (None, "none")
+    assert [got[10 + k] for k in range(len(licenses.FULL))] == [(name, "file") for name in licenses.FULL]
+
+
 def test_license_anchors_lose_nothing(spark):
     """Lines that anchors pass over are under the threshold."""
     docs = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]

@@ -1,11 +1,12 @@
 """License scan: headers and licence files against templates, then inheritance.
 
-Each line of a text that may match, and the whole text, is a sparse TF-IDF vector;
-its cosines with the templates find the licence it states.  Document frequencies
-of the templates' words are counted over all documents.  Lines are passed over
-only if they can't match: a line whose cosine reaches the threshold has one of the
-template's anchors, the words left after its lightest ones (whose own norm is
-under the threshold) are set aside.
+Each line of a text, each run of consecutive lines that may hold a wrapped notice,
+and the whole text is a sparse TF-IDF vector; its cosines with the templates find
+the licence it states.  The whole text is also compared with full licence texts.
+Document frequencies of the templates' words are counted over all documents.  Texts
+and runs are passed over only if they can't match: the squared weights of the
+template's words that occur are an upper bound of the squared cosine.  Lines without
+words, such as bare comment signs, are no lines.
 
 A file whose whole text matches, or which has the name of a licence file, states
 the licence of its directory; a file without a header of its own inherits from the
@@ -20,6 +21,7 @@ own; an empty table gives an empty result; other columns do not matter.
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -44,7 +46,11 @@ TEMPLATES = {
 NAMES = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 ALIKE = 0.75
 WORD = re.compile(r"[a-z0-9]+")
-VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in WORD.findall(t.lower())})
+#: Full texts, which a licence file is compared with.
+FULL = {name: (pkgutil.get_data(__name__, f"notices/{name}.txt") or b"").decode() for name in ("Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", "MPL-2.0")}
+VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in WORD.findall(t.lower())} | {w for t in FULL.values() for w in WORD.findall(t.lower())})
+#: Twice the words of the longest notice: runs of lines whose inner lines have more are not compared.
+LONGEST = 2 * max(len(WORD.findall(t)) for texts in TEMPLATES.values() for t in texts)
 
 
 def _present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,43 +68,61 @@ class Matcher:
         self.alike, self.rare = alike, math.log(1 + n) + 1
         self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}
         self.templates = [(name, self.vector(WORD.findall(t.lower()))) for name, texts in sorted(TEMPLATES.items()) for t in texts]
-        self.anchors = set()
-        for _, vector in self.templates:
-            light = 0.0
-            for word, weight in sorted(vector.items(), key=lambda x: x[1]):
-                light += weight * weight
-                # light words alone reach at most the root of their squares
-                if light >= (alike - 1e-9) ** 2:
-                    self.anchors.add(word)
-        self.anchors = sorted(self.anchors)
+        self.full = [(name, self.vector(WORD.findall(t.lower()))) for name, t in sorted(FULL.items())]
+        self.least = (alike - 1e-9) ** 2
 
     def vector(self, words: list[str]) -> dict[str, float]:
         out = {w: (1 + math.log(k)) * self.idf.get(w, self.rare) for w, k in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in out.values())) or 1.0
         return {w: x / norm for w, x in out.items()}
 
-    def best(self, words: list[str]) -> tuple[str | None, float]:
+    def best(self, words: list[str], templates: list | None = None) -> tuple[str | None, float]:
         if not words:
             return None, 0.0
         own = self.vector(words)
-        score, name = max(((sum(x * own[w] for w, x in t.items() if w in own), name) for name, t in self.templates), key=lambda s: s[0])
+        score, name = max(((sum(x * own[w] for w, x in t.items() if w in own), name) for name, t in templates or self.templates), key=lambda s: s[0])
         return (name, min(1.0, score)) if score >= self.alike else (None, 0.0)
 
+    def reach(self, templates: list, present: set[str]) -> list:
+        """The templates that words ``present`` may match."""
+        return [(name, t) for name, t in templates if sum(t[w] * t[w] for w in present.intersection(t)) >= self.least]
+
     def scan(self, text: str) -> tuple[str | None, float, bool]:
         """The licence stated, its score, and if the whole text states it."""
-        low = text.lower()
-        hits = [a for a in self.anchors if a in low]
-        if not hits:
+        words = WORD.findall(text.lower())
+        present = set(words)
+        notices, full = self.reach(self.templates, present), self.reach(self.full, present)
+        if not notices and not full:
             return None, 0.0, False
-        whole = self.best(WORD.findall(low))
+        whole = self.best(words, notices + full)
         name, score = whole
-        for line in low.split("\n"):
-            if any(a in line for a in hits):
-                found, at = self.best(WORD.findall(line))
-                if found is not None and (at > score or at == score and name is not None and found < name):
+        lines = [x for line in text.lower().split("\n") if (x := WORD.findall(line))] if notices else []
+        for licence, template in notices:
+            for found, at in self.runs(lines, licence, template):
+                if at > score or at == score and name is not None and found < name:
                     name, score = found, at
         return name, score, whole[0] is not None
 
+    def runs(self, lines: list[list[str]], licence: str, template: dict[str, float]) -> Iterator[tuple[str, float]]:
+        """Matches of one template with runs of lines; a best run begins and ends with a line that has a word of it."""
+        own = [template.keys() & line for line in lines]
+        for first in range(len(lines)):
+            if not own[first]:
+                continue
+            present, mass, inner, words = set(), 0.0, 0, []
+            for last in range(first, len(lines)):
+                if inner > LONGEST:
+                    break
+                if last > first:
+                    inner += len(lines[last])
+                words += lines[last]
+                mass += sum(template[w] ** 2 for w in own[last] - present)
+                present |= own[last]
+                if own[last] and mass >= self.least:
+                    found, at = self.best(words, [(licence, template)])
+                    if found is not None:
+                        yield found, at
+
 
 def _scanned(df: dict[str, int], alike: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
