@@ -1,6 +1,7 @@
 """A corpus pipeline: each stage takes the documents that the one before it kept.
 
-``doc_id`` identifies a document; rows that repeat an id share its decision.  All
+Language ID and both dedup stages decide on each row by a key of its own, so null and
+repeated ids do no harm; in mixing, rows that repeat an id share its copies.  All
 stages but the last return the columns of ``documents``.
 """
 
@@ -21,19 +22,36 @@ from veriloom.llm.tokens import vocabulary
 ORACLE_SQL = None
 
 
+ROW = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, in the order of ids (null last) and then of texts' hashes."""
+    order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return written(order.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def spared(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of keyed ``docs`` whose key is not in ``rejected``, without keys."""
+    return without(docs, rejected.select(F.col("doc_id").alias(ROW)), ROW).drop(ROW)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language."""
-    return without(docs, identify(docs).where(F.col("lang_pred") == UNKNOWN))
+    docs = keyed(docs)
+    return spared(docs, identify(docs, ROW).where(F.col("lang_pred") == UNKNOWN))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of equal texts."""
-    return without(docs, exact_dedup(docs).where(~F.col("kept")))
+    docs = keyed(docs)
+    return spared(docs, exact_dedup(docs, ROW).where(~F.col("kept")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates."""
-    return without(docs, near_dedup(docs).where(~F.col("kept")))
+    docs = keyed(docs)
+    return spared(docs, near_dedup(docs, ROW).where(~F.col("kept")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

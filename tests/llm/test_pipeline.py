@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_llm import brute_exact, brute_near, check_packing
+from tests.llm.test_llm import brute_exact, brute_near, check_packing, table, words
 
 
 def test_stages(spark):
@@ -30,3 +30,14 @@ def test_stages(spark):
     copies = Counter(kept["mixing"])
     assert max(copies.values()) <= 3 and set(copies) <= set(kept["near_dedup"])
     check_packing(spark, seen["packing"][0], docs.collect())
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    """A rejected row takes no other row of its id along, and copies under one id leave one row."""
+    a, b, c, d = (words(80, 600 + k) for k in range(4))
+    left = lambda stage, rows: sorted((x["doc_id"] is None, x["text"]) for x in stage(spark, table(spark, [(i, t, "en", "s") for i, t in rows]), "").collect())
+    assert left(corpus_pipeline.language_id, [(None, "12"), (None, a), (1, b), (1, "3")]) == sorted([(True, a), (False, b)])
+    rows = [(None, a), (1, a), (None, b), (2, c), (2, c), (2, a), (None, d), (None, d)]
+    want = sorted([(False, a), (True, b), (False, c), (True, d)])
+    assert left(corpus_pipeline.exact, rows) == want
+    assert left(corpus_pipeline.near, rows) == want
