@@ -34,23 +34,49 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs run inside hand Python at most ``rows`` rows at a time, which bounds its memory."""
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, rows)
+    with setting(spark, ARROW_ROWS, rows):
+        yield
+
+
+#: Spark removes a job's shuffle files at its end, since its result is a table that outlives them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage cut."""
+def written(df: DataFrame, name: str, rows: int = 2000, parts: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, lineage cut.
+
+    ``parts`` is the most files it gets, for tables whose size is known.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veriloom/{name}-{uuid.uuid4().hex}"
-    with arrow_rows(spark, rows):
-        df.write.parquet(path)
+    with setting(spark, ARROW_ROWS, rows), setting(spark, CLEANUP, "true"):
+        (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(rows: int, each: int = 100_000) -> int:
+    """Files for a table of so many narrow rows."""
+    return max(1, -(-rows // each))
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and no later step reads."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def releasing(run: Callable) -> Callable:
     """A task function that hands memory back to the system when its task ends.
 
@@ -102,8 +128,8 @@ def split_hot(df: DataFrame, key: list[str], per_key: DataFrame, count: str, tot
     return met.select(*df.columns, *[F.coalesce(F.col("_hot")[c], F.col(c)).alias(c) for c in values])
 
 
-#: Ids that may be broadcast; beyond that a join shuffles.
-FEW = 1_000_000
+#: Rows of at most some hundred bytes that may be broadcast; beyond that a join shuffles.
+FEW = 200_000
 
 
 def few(df: DataFrame, rows: int = FEW) -> DataFrame:

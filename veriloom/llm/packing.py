@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.common import releasing, written
-from veriloom.llm.tokens import encoder, slices
+from veriloom.llm.tokens import HELD, encoder, slices
 
 #: Pieces of one packing task.
 BLOCK = 12_000
@@ -55,13 +55,13 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, most) for at in range(first, n, most))]
 
 
-def _pieces(path: str, end: int, most: int):
+def _pieces(path: str, end: int, most: int, held: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = encoder(path), np.array([end], "<u4").tobytes()
+        own, last = encoder(path, held), np.array([end], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode([x or "" for x in part.column("text").to_pylist()]), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text")), strict=True):
                     ids = memoryview(ids + last)
                     for k, (start, n) in enumerate(cut(len(ids) // 4, most)):
                         rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
@@ -84,6 +84,11 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     order = np.argsort(-lengths, kind="stable")
     least = int(lengths.min()) if len(lengths) else 0
     for i in order:
+        if lengths[i] == capacity.tokens:  # fits an empty sequence only, and fills it
+            where[i], offset[i] = used, 0
+            room[used], tokens[used] = 1.0 - items[i], 0
+            used += 1
+            continue
         if len(open_):
             left = room[open_] - items[i]
             fits = (tokens[open_] >= lengths[i]) & (left > -1e-9).all(1)
@@ -134,7 +139,10 @@ def packed(pieces: DataFrame, capacity: Capacity = Capacity(), block: int = BLOC
     return out
 
 
-def pack(docs: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), block: int = BLOCK) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``held`` bounds the memory of pieces of text that come again (see ``tokens``).
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return packed(written(rows.mapInArrow(releasing(_pieces(path, end, capacity.tokens)), PIECE), "pieces"), capacity, block)
+    return packed(written(rows.mapInArrow(releasing(_pieces(path, end, capacity.tokens, held)), PIECE), "pieces"), capacity, block)

@@ -3,83 +3,156 @@
 Both kinds of vocabulary here split words before a space or line end that
 follows a character other than white space, and between a letter or digit and a
 full stop or comma.  A text is cut there; its ids are those of its pieces in a
-row, and a piece that comes again is not encoded again.  A text in which such a
-character follows something else is encoded whole.  The ids are the library's
-either way.
+row, and a piece that comes again is not encoded again.  New pieces are joined to
+one text, which the library encodes in one call.  A text in which a stop or comma
+follows something else is encoded whole.  The ids are the library's either way.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterator, Sequence
 
-CUT = "\x01"
-#: A stop or comma that follows neither letter nor digit.
-LOOSE = re.compile(r"[.,](?<![a-zA-Z0-9À-ÖØ-öø-ÿ][.,])")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of texts that are cut at once, and pieces that one call encodes.
+STEP, CALL = 1 << 22, 4096
+#: Pieces of a generation that are remembered.
+HELD = 250_000
+SPACE, LINE, COMMA, STOP = b" \n,."
 
-class Known(dict):
-    """Ids of pieces; None for one that ends in white space, which the next may belong to."""
 
-    #: Pieces of a generation.  Two are kept: a piece not met in the newer one is looked up in the older.
-    HELD = 150_000
+class Known:
+    """Ids of pieces; None for one that ends in white space, which the next may belong to.
 
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
+    Two generations are kept: a piece not met in the newer one is looked up in the older.
+    """
 
-    def __missing__(self, piece: str) -> bytes | None:
-        if piece in self.older:
-            ids = self.older[piece]
-        else:
-            ids = None if piece[-1:].isspace() else array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        self[piece] = ids
-        return ids
+    def __init__(self, tokenizer, held: int = HELD) -> None:
+        self.tokenizer, self.held = tokenizer, held
+        self.newer: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
-    def age(self) -> None:
-        if len(self) > self.HELD:
-            self.older = dict(self)
-            self.clear()
+    def ids(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of each of ``pieces``, which differ from each other."""
+        if len(self.newer) > self.held:
+            self.newer, self.older = {}, self.newer
+        newer, older, many = self.newer, self.older, []
+        for piece in pieces:
+            if piece in newer:
+                continue
+            if piece in older:
+                newer[piece] = older[piece]
+            elif piece[-1:].isspace():
+                newer[piece] = None
+            elif piece[:1] in (" ", "\n"):
+                many.append(piece)
+            else:
+                newer[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        for at in range(0, len(many), CALL):
+            newer.update(self.together(many[at : at + CALL]))
+        return list(map(newer.__getitem__, pieces))
+
+    def together(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces that begin with white space and don't end in it, from one text made of them."""
+        made = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
+        starts = np.cumsum([0, *map(len, pieces[:-1])])
+        first = np.searchsorted(np.fromiter((x[0] for x in made.offsets), np.int64, len(made.ids)), starts) * 4
+        ids, ends = array("I", made.ids).tobytes(), [*first[1:].tolist(), 4 * len(made.ids)]
+        return zip(pieces, map(ids.__getitem__, map(slice, first.tolist(), ends)), strict=True)
+
+
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts of about STEP characters, cut where it may be."""
+    at = 0
+    while len(text) - at > 2 * STEP:
+        end = text.find(" ", at + STEP)
+        while end > 0 and text[end - 1].isspace():
+            end = text.find(" ", end + 1)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def loose(raw: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the stops and commas at ``marks`` follow neither a letter nor a digit; ``first`` is true where texts begin."""
+    before, second = raw[np.maximum(marks - 1, 0)], raw[np.maximum(marks - 2, 0)]
+    low = before | 0x20
+    plain = (low >= 97) & (low <= 122) & (before < 128) | (before >= 48) & (before <= 57)
+    accented = (second == 0xC3) & (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7)
+    return ~(plain | accented) | first[marks]
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, held: int = HELD) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Known(self.tokenizer)
+        self.known = Known(self.tokenizer, held)
 
     def library(self, texts: Sequence[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        out, ids = [], self.known.__getitem__
-        for text in texts:
-            if CUT in text or LOOSE.search(text):
-                out += self.library([text])
-                continue
-            pieces = text.replace(" ", "\x01 ").replace("\n", "\x01\n").replace(",", "\x01,").replace(".", "\x01.").split(CUT)
-            try:
-                out.append(b"".join(map(ids, pieces)))
-            except TypeError:  # None
-                out += self.library([text])
-        self.known.age()
+    def encode(self, texts: Sequence[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; null is an empty one."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes, out, first, held = pc.binary_length(texts).to_pylist(), [], 0, 0
+        for k, size in enumerate([*sizes, STEP + 1]):  # the last one ends the last run
+            if held + size > STEP and k > first:
+                run = texts.slice(first, k - first)
+                if held > 4 * STEP and k == first + 1 and (pieces := list(parts(run[0].as_py())))[1:]:
+                    out.append(b"".join(x for part in pieces for x in self._encoded(pa.array([part], pa.string()))))
+                else:
+                    out += self._encoded(run)
+                first, held = k, 0
+            held += size
+        return out
+
+    def _encoded(self, texts: pa.Array) -> list[bytes]:
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+        bounds = bounds - bounds[0]
+        marked, first = (raw == COMMA) | (raw == STOP), np.zeros(len(raw) + 1, bool)
+        first[bounds] = True
+        marks = np.flatnonzero(marked)
+        edges = np.append(np.flatnonzero(marked | (raw == SPACE) | (raw == LINE) | first[:-1]), len(raw)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
+        ids = self.known.ids(pieces.dictionary.to_pylist())
+        index = pieces.indices.to_numpy()
+        count = np.fromiter((0 if x is None else len(x) // 4 for x in ids), np.int64, len(ids))
+        flat = np.frombuffer(b"".join(x for x in ids if x), "<u4")
+        begin, own = (np.cumsum(count) - count)[index], count[index]
+        ends = np.cumsum(own)
+        whole = flat[np.repeat(begin - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        # where each text's pieces end among all pieces, and so its ids among all ids
+        ends = np.append(0, ends)[np.searchsorted(edges, bounds)] * 4
+        odd = np.zeros(len(texts), bool)
+        open_ = edges[:-1][np.fromiter((x is None for x in ids), bool, len(ids))[index]]
+        for at in (open_, marks[loose(raw, marks, first)]):
+            odd[np.searchsorted(bounds, at, side="right") - 1] = True
+        out = list(map(whole.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist())))
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.library([texts[k].as_py()])[0]
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, held: int = HELD) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, held) not in _ENCODERS:
+        _ENCODERS[path, held] = Encoder(path, held)
+    return _ENCODERS[path, held]
 
 
 def vocabulary(name: str) -> str:
@@ -90,8 +163,6 @@ def vocabulary(name: str) -> str:
 
 def slices(batch, column: str = "text", rows: int = 256, size: int = 16 << 20) -> Iterator:
     """Slices of an Arrow batch with few rows and, but for single rows, few bytes."""
-    import pyarrow.compute as pc
-
     at, n = 0, batch.num_rows
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     while at < n:
