@@ -194,7 +194,7 @@ def test_bitplanes(spark, odd, empty, tmp_path, unit):
     path = tokens.vocabulary("word_bpe_49k.json")
     out = f"file://{tmp_path}/ids"
     bitplanes.write_ids(odd, path, out, 1, chunk=5000, unit=unit, parts=3)
-    got = bitplanes.read_crcs(spark, out, chunk=5000, unit=unit).collect()
+    got = bitplanes.read_crcs(spark, out).collect()
     own, at, want = tokens.Encoder(path), 0, []
     for i, t, *_ in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = own.library([t or ""])[0] + b"\1\0\0\0"
@@ -202,6 +202,26 @@ def test_bitplanes(spark, odd, empty, tmp_path, unit):
         at += len(ids) // 4
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert bitplanes.round_trip(empty, path, 1).count() == 0
+    again = bitplanes.round_trip(odd, path, 1, chunk=777, unit=unit).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(want, key=str)
+    some = spark.createDataFrame([(5,), (7,), (7,), (999,)], "doc_id long")
+    ids = bitplanes.read_ids(spark, out, some).collect()
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in ids) == Counter((i, (*np.frombuffer(own.library([t])[0], "<u4").tolist(), 1)) for i, t, *_ in ODD if i in (5, 7))
+
+
+def test_bitplanes_of_one_id(spark, tmp_path):
+    """Rows of one id are dealt to several parts and keep their places."""
+    path, out = tokens.vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/ids"
+    rows = table(spark, [(None, words(3, k % 5), "en", "s") for k in range(4000)])
+    bitplanes.write_ids(rows, path, out, 1, parts=4)
+    got = bitplanes.read_crcs(spark, out).collect()
+    assert len(got) == 4000
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    parts = bitplanes.read_documents(spark, out).groupBy("part").count().collect()
+    assert len(parts) >= 3 and max(p["count"] for p in parts) < 2500
 
 
 def brute_near(rows, alike=0.8):
@@ -288,6 +308,46 @@ def test_near_dedup_chained(spark):
     assert grouped(got) == grouped(brute_near(rows))
 
 
+def test_near_dedup_large_family(spark):
+    """1,500 changed copies of one text, most under the threshold to each other; no link between them is lost."""
+    r = random.Random(12)
+    base, drawn = words(110, 5000).split(), words(25, 5001).split()
+    rows = []
+    for k in range(1500):
+        own = list(base)
+        for _ in range(r.randint(0, 14)):
+            own[r.randrange(len(own))] = r.choice(drawn)
+        rows.append((k, " ".join(own), "en", "s"))
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_dedup(table(spark, rows)).collect()}
+    codes = [near_dedup.kmers(near_dedup.Words()(t.split())) for _, t, *_ in rows]
+    held, lost = [set(c.tolist()) for c in codes], 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if got[a] != got[b] and 1.8 * len(held[a] & held[b]) >= 0.8 * (len(held[a]) + len(held[b])):
+                lost += 1
+    sizes = Counter(got.values())
+    assert lost == 0 and max(sizes.values()) > 300 and len(sizes) > 300
+
+
+def test_rare_bound_loses_no_pair(spark):
+    """Pairs that the bound passes over share too little, and those with rare k-mers in common are listed."""
+    texts = [words(60, 6000).split() for _ in range(40)]
+    r = random.Random(3)
+    for t in texts:
+        for _ in range(r.randint(0, 12)):
+            t[r.randrange(60)] = "w" + str(r.randrange(30))
+    texts = [list(t) for t in {tuple(t) for t in texts}]
+    codes = [near_dedup.kmers(near_dedup.Words()(t)) for t in texts]
+    rows = [(7, f"{k:02}".encode(), len(c), len(c), f"{k:02}".encode(), len(texts)) for k, c in enumerate(codes)]
+    members = spark.createDataFrame(rows, "bucket long, node binary, n int, most int, root binary, size long")
+    held = spark.createDataFrame([(f"{k:02}".encode(), bytearray(near_dedup.Words()(t).tobytes())) for k, t in enumerate(texts)], "node binary, words binary")
+    left, more = near_dedup._bounded(members, held, 0.8)
+    pairs = near_dedup._pairs(left, left, 0.8).select("a", "b").unionByName(more.select("a", "b")).distinct().collect()
+    told = {frozenset((bytes(p["a"]), bytes(p["b"]))) for p in pairs}
+    alike = {frozenset((f"{a:02}".encode(), f"{b:02}".encode())) for a in range(len(texts)) for b in range(a) if 1.8 * len(set(codes[a].tolist()) & set(codes[b].tolist())) >= 0.8 * (len(codes[a]) + len(codes[b]))}
+    assert alike and alike <= told and len(told) < len(texts) * (len(texts) - 1) / 2
+
+
 def test_chain_keeps_order():
     a = near_dedup.kmers(near_dedup.Words()(words(200, 1).split()))
     assert near_dedup.chain(a, a) == 1.0

@@ -9,11 +9,13 @@ without labels, that keeps their order in both texts (a longest common subsequen
 one that reaches a similarity of 0.8 can't leave the band of diagonals that this
 allows).  The similarity is chain / (a + b - chain).
 
-Equal texts are one node.  The members of a bucket meet its hubs (members of least
+Equal texts are one node.  The members of a bucket meet its hubs (members drawn by
 hash) in rounds, each with more hubs than the one before.  After a round, linked
 nodes form classes; members of one class don't meet again, and a hub, which has met
 all, leaves its bucket.  A bucket ends when its members are of one class, so any two
 members of different classes have met, unless their lengths rule out a likeness.
+After the first round so may the k-mers that few of the texts still open have: in a
+large family whose members differ, each in places of its own, few pairs are left.
 
 Results in the odd cases: null text counts as empty; texts without words are one
 class; texts with fewer than three k-mers are alike only if equal in their words;
@@ -25,18 +27,17 @@ not matter.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import arrow_rows, few, releasing, shared_dir, split_hot, written
+from veriloom.llm.common import discarded, few, releasing, sized, split_hot, written
 from veriloom.llm.graph import components
 
-PAIR = "a binary, b binary, similarity double"
+PAIR = "a binary, b binary, a_root binary, b_root binary, similarity double"
 WORDS = 5
 ALIKE = 0.8
 BANDS = 32
@@ -44,9 +45,13 @@ BANDS = 32
 LENGTH, BRIEF_LENGTH = 6, 3
 LONG, BRIEF = 40, 50
 #: Hubs of a bucket in the first, second and so on, and in all further rounds.
-HUBS = (1, 8, 64, 512)
+HUBS = (2, 32, 512)
+#: A k-mer that at most so many open texts have is rare.
+RARE = 8
 #: K-mers that a task verifying pairs remembers.
 HELD = 1_000_000
+#: Digests of texts that a task sketching them remembers.
+SEEN = 1_000_000
 #: Bytes of words that may be broadcast; beyond that texts are joined by shuffle.
 SMALL = 8 << 20
 
@@ -187,6 +192,8 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if digest in seen:
                 rows.append((doc_id, digest, None, None, None))
                 continue
+            if len(seen) > SEEN:
+                seen.clear()
             seen.add(digest)
             hashes = own(words)
             code = kmers(hashes)
@@ -220,63 +227,132 @@ def _verified(alike: float):
 
         for batch in batches:
             score = [chain(code(a), code(b), alike) for a, b in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+            kept = ["a", "b", "a_root", "b_root"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(score, pa.float64())], names=[*kept, "similarity"])
 
     return run
 
 
-def _needed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The words of the given nodes, one row for each."""
-    nodes = written(nodes.distinct(), "needed")
-
-    return texts.join(few(nodes), "node", "left_semi").dropDuplicates(["node"])
-
-
 def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame | None:
     """node, root of the nodes that are linked to others, or None if none is.
 
     In each round the members of a bucket meet those of its hubs that are of another
-    class and of a fitting length; new links join classes.  Hubs leave, and buckets
-    within one class are done; the search ends when no bucket is left.
+    class, if what the two may share allows a likeness; new links join classes, and
+    the classes, not their members, go into the next round.  Hubs leave, and buckets
+    of one class are done; the search ends when no bucket is left.
     """
-    spark = rows.sparkSession
-    texts = rows.where("words is not null").select("node", "n", "words")
-    members = rows.where("words is not null and size(buckets) > 0").select("node", "n", "buckets").dropDuplicates(["node"])
-    members = members.select("node", "n", F.explode("buckets").alias("bucket"), F.col("node").alias("root"))
-    members = written(_open(members), "members")
-    words = written(_needed(texts, members.select("node")).select("node", "words"), "words")
-    pairs_dir, level, known, roots = f"{shared_dir(spark)}/veriloom/pairs-{uuid.uuid4().hex}", 0, 0, None
-    while not members.isEmpty():
-        # the least by hash in each of several slices: partial aggregates, no sort of a bucket
-        slot = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(HUBS[min(level, len(HUBS) - 1)])).alias("slot")
-        least = F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")), F.xxhash64("node"))
-        hub = written(members.groupBy("bucket", slot).agg(least.alias("h")).select("bucket", "h.*"), "hubs")
-        pairs = members.join(hub, "bucket").where((F.col("root") != F.col("hub_root")) & (F.least("n", "hub_n") >= alike * F.greatest("n", "hub_n")))
-        pairs = pairs.select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b")).distinct()
-        if level:
-            pairs = pairs.join(spark.read.schema(PAIR).parquet(pairs_dir).select("a", "b"), ["a", "b"], "left_anti")
-        first, second = words.select(F.col("node").alias("a"), F.col("words").alias("a_words")), words.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
-        if (words.agg(F.sum(F.length("words"))).first()[0] or 0) <= SMALL:
-            first, second = F.broadcast(first), F.broadcast(second)
-        scored = pairs.join(second, "b").join(first, "a").sortWithinPartitions("a")
-        with arrow_rows(spark, 256):  # a row holds two whole texts
-            scored.mapInArrow(releasing(_verified(alike)), PAIR).write.mode("append").parquet(pairs_dir)
-        found = spark.read.schema(PAIR).parquet(pairs_dir).where("similarity > 0").select("a", "b")
-        now = found.count()
-        if now != known:
-            known, roots = now, written(components(found), "roots")
-        left = members.join(hub.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        if roots is not None:
-            left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        members, level = written(_open(left), "members"), level + 1
-        words = written(_needed(words, members.select("node")), "words")
+    first = rows.where("words is not null and size(buckets) > 0").select("node", "n", "buckets").dropDuplicates(["node"])
+    each = first.select(F.explode("buckets").alias("bucket"), "node", "n")
+    crowded = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(each.join(crowded, "bucket").select("bucket", "node", "n", F.col("n").alias("most"), F.col("node").alias("root"), "size"), "members")
+    words = written(_needed(rows.where("words is not null").select("node", "words"), members), "words")
+    roots, more, met, level, left = None, None, [], 0, members.count()
+    while left or more is not None:
+        share = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(1 << 30)) / float(1 << 30)
+        is_hub = share * F.col("size") < HUBS[min(level, len(HUBS) - 1)]
+        pairs = _pairs(members, members.where(is_hub), alike)
+        verified = _met(pairs if more is None else pairs.unionByName(more), words, met, alike)
+        links = verified.where("similarity > 0").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        stay = members.where(~is_hub)
+        if not links.isEmpty():
+            joined = components(links)
+            roots = joined if roots is None else _followed(roots, joined)
+            stay = stay.join(few(joined).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root"))
+        met.append(verified)
+        before, members, more = members, written(_open(stay), "members", parts=sized(left)), None
+        left = members.count()
+        if level == 0 and left:
+            shared = written(_needed(words, members), "words")
+            discarded(before, words)
+            before, words = members, shared
+            members, more = _bounded(members, shared, alike)
+            left = members.count()
+        discarded(before)
+        level += 1
+    discarded(members, words, *met)
     return roots
 
 
+def _needed(words: DataFrame, members: DataFrame) -> DataFrame:
+    """The words of the members, one row for each node."""
+    nodes = written(members.select("node").distinct(), "needed")
+    return words.join(few(nodes), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _may(most: Column, n: Column, alike: float) -> Column:
+    """If texts of ``n`` k-mers together that share at most ``most`` may be alike."""
+    return most * (1 + alike) >= alike * n - 1e-6
+
+
+def _pairs(members: DataFrame, hubs: DataFrame, alike: float) -> DataFrame:
+    """Members with hubs of another class in their bucket that they may be alike to."""
+    hubs = hubs.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "most", "root")])
+    may = _may(F.least("most", "hub_most"), F.col("n") + F.col("hub_n"), alike)
+    met = members.join(hubs, "bucket").where((F.col("root") != F.col("hub_root")) & may)
+    own = F.col("node") > F.col("hub_node")
+    order = lambda one, other: F.when(own, F.col(one)).otherwise(F.col(other))
+    return met.select(order("node", "hub_node").alias("a"), order("hub_node", "node").alias("b"), order("root", "hub_root").alias("a_root"), order("hub_root", "root").alias("b_root"))
+
+
+def _met(pairs: DataFrame, words: DataFrame, met: list[DataFrame], alike: float) -> DataFrame:
+    """The pairs that did not meet before, with their similarity."""
+    pairs = pairs.distinct()
+    for earlier in met:
+        pairs = pairs.join(few(earlier.select("a", "b")), ["a", "b"], "left_anti")
+    first, second = words.select(F.col("node").alias("a"), F.col("words").alias("a_words")), words.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
+    if (words.agg(F.sum(F.length("words") + 64)).first()[0] or 0) <= SMALL:
+        first, second = F.broadcast(first), F.broadcast(second)
+    scored = pairs.join(second, "b").join(first, "a").sortWithinPartitions("a")
+    return written(scored.mapInArrow(releasing(_verified(alike)), PAIR), "met", rows=256)  # a row holds two whole texts
+
+
+def _followed(roots: DataFrame, joined: DataFrame) -> DataFrame:
+    """``roots`` after its roots, and nodes of no class so far, went into ``joined``."""
+    to = written(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "joined")
+    moved = roots.join(few(to), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = to.join(few(roots.select("node")), F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    out = written(moved.unionByName(fresh), "roots")
+    discarded(roots, to)
+    return out
+
+
+def _bounded(members: DataFrame, words: DataFrame, alike: float) -> tuple[DataFrame, DataFrame]:
+    """Open members with a bound of what they share with others, and the pairs that the bound leaves out.
+
+    ``most`` counts the labelled k-mers that occur in more than RARE open texts.  Two
+    texts without a rarer one in common share at most the lesser of their ``most``;
+    those with some are listed by joining the rare k-mers, each with RARE texts at
+    most, and may share these besides.
+    """
+    codes = words.mapInArrow(_labelled, "node binary, code long")
+    rare = codes.groupBy("code").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE)
+    rare = written(codes.join(rare, "code").select("code", "node", "k"), "rare")
+    own = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    most = (F.col("n") - F.coalesce("rare", F.lit(0))).cast("int")
+    bounded = members.join(own, "node", "left").withColumn("most", most).drop("rare")
+    nodes = written(bounded.select("node", "n", "most", "root").distinct(), "bounds")
+    held = rare.where("k > 1")
+    common = held.select("code", F.col("node").alias("a")).join(held.select("code", F.col("node").alias("b")), "code").where("a > b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    of = lambda end: few(nodes.select(*[F.col(c).alias(f"{end}_{c}") for c in nodes.columns]))
+    met = common.join(of("a"), F.col("a") == F.col("a_node")).join(of("b"), F.col("b") == F.col("b_node"))
+    may = _may(F.col("common") + F.least("a_most", "b_most"), F.col("a_n") + F.col("b_n"), alike)
+    more = written(met.where(may & (F.col("a_root") != F.col("b_root"))).select("a", "b", "a_root", "b_root"), "more")
+    out = written(_open(bounded.where(_may(F.col("most"), F.col("n") + F.col("most"), alike))), "members")
+    discarded(rare, nodes)
+    return out, more
+
+
+def _labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, words in zip(batch.column("node").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            code = kmers(np.frombuffer(words, np.uint32)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([node] * len(code), pa.binary()), pa.array(code)], names=["node", "code"])
+
+
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets in which several classes meet."""
-    ends = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return members.join(ends, "bucket").select("node", "n", "bucket", "root")
+    """Members of buckets in which several classes meet, with the number of its members."""
+    ends = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size")
+    return members.drop("size").join(ends, "bucket").select("bucket", "node", "n", "most", "root", "size")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
