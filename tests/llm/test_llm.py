@@ -66,6 +66,24 @@ def test_exact_dedup(spark, odd, empty, budget):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_trie_sheds_at_any_depth():
+    """Subtrees leave below a shared start too; the size stays near the budget, and no string is lost."""
+    r, trie, budget, back, peak = random.Random(4), exact_dedup.Trie(), 60_000, [], 0
+    keys = [(b"http://" if r.random() < 0.5 else b"https://") + bytes(r.choice(b"abcdef") for _ in range(r.randint(1, 200))) for _ in range(4000)]
+    for k, key in enumerate(keys):
+        if name := trie.insert(key, str(k), k, 1):
+            back.append((name, key))
+        elif trie.size > budget:
+            back += [(name, word) for name, before, top in trie.shed(budget // 2) for word, _ in trie.terminals(top, before)]
+        peak = max(peak, trie.size)
+    kept = [word for word, _ in trie.terminals()]
+    assert peak <= budget + 1000 and trie.size == sum(len(n.label) + 200 for n in exact_dedup._nodes(trie.root)) - 200
+    assert set(kept) | {k for _, k in back} == set(keys) and not set(kept) & {k for _, k in back}
+    one = exact_dedup.Trie()
+    one.insert(b"x" * 9000, "s", 1, 1)
+    assert list(one.shed(100)) == []
+
+
 def test_squeeze():
     r = random.Random(2)
     for _ in range(2000):
@@ -450,6 +468,16 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_of_roots(spark):
+    """Relative and absolute roots hand their licences to their own folders only."""
+    mit, isc = "Released under the MIT License.", licenses.TEMPLATES["ISC"][0]
+    rows = [(1, "LICENSE", mit), (2, "src/a.py", "x"), (3, "src/deep/er/b.py", "y"), (4, "c.py", "z"), (5, "/LICENSE", isc), (6, "/src/a.py", "x"), (7, "/c.py", "w")]
+    got = {r["doc_id"]: (r["license"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", ""), 4: ("MIT", ""), 5: ("ISC", None), 6: ("ISC", "/"), 7: ("ISC", "/")}
+    relative = licenses.scan(spark.createDataFrame(rows[4:] + rows[1:2], "doc_id long, path string, text string")).where("doc_id = 2").first()
+    assert relative["license"] is None
+
+
 def test_licenses_wrapped_and_full(spark):
     bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n"
     gpl = " * This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General\n * Public License as published by the Free Software\n * Foundation.\n"

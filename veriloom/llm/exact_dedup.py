@@ -5,8 +5,8 @@ map task sends a distinct text once, with the smallest id and the number of its
 rows, to the partition of its length and content hash.  There a compressed
 radix trie takes the full byte strings; equal strings, and only they, end in the
 same node, which keeps the smallest identifier.  A trie that outgrows its budget
-gives up its largest subtrees: their strings go back to the shared folder and
-are dealt out anew, by subtree, length and hash, in a further round.
+gives up its largest subtrees, at any depth: their strings go back to the shared
+folder and are dealt out anew, by length, hash and round, in a further round.
 
 Results in the odd cases: null text counts as empty and equals an empty one; a
 null id sorts last, so it owns a group only when all ids of the group are null;
@@ -46,10 +46,11 @@ def least(a: int | None, b: int | None) -> int | None:
 
 
 class Node:
-    __slots__ = ("label", "kids", "owner", "count", "sha")
+    __slots__ = ("label", "kids", "owner", "count", "sha", "gone")
 
-    def __init__(self, label: bytes):
-        self.label, self.kids, self.owner, self.count, self.sha = label, None, None, 0, ""
+    def __init__(self, label: bytes, gone: str = ""):
+        #: ``gone`` names a subtree that left: a node that stands for it
+        self.label, self.kids, self.owner, self.count, self.sha, self.gone = label, None, None, 0, "", gone
 
 
 class Trie:
@@ -58,7 +59,8 @@ class Trie:
     def __init__(self) -> None:
         self.root, self.size = Node(b""), 0
 
-    def insert(self, key: bytes, sha: str, owner: int | None, count: int) -> None:
+    def insert(self, key: bytes, sha: str, owner: int | None, count: int) -> str:
+        """The empty string, or the name of the subtree that ``key`` belongs to, if that left."""
         node, at = self.root, 0
         while at < len(key):
             if node.kids is None:
@@ -70,6 +72,8 @@ class Trie:
                 self.size += len(kid.label) + 200
                 node, at = kid, len(key)
                 break
+            if kid.gone:
+                return kid.gone
             label = kid.label
             if key.startswith(label, at):
                 node, at = kid, at + len(label)
@@ -84,6 +88,7 @@ class Trie:
         node.owner = least(node.owner, owner) if node.count else owner
         node.count += count
         node.sha = sha
+        return ""
 
     def terminals(self, top: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, Node]]:
         stack = [(prefix, top or self.root)]
@@ -94,13 +99,42 @@ class Trie:
                 yield word, node
             stack += [(word, kid) for kid in (node.kids or {}).values()]
 
-    def branching(self) -> tuple[Node, bytes]:
-        """The topmost node with several ways on, and the bytes before its children."""
-        node, before = self.root, b""
-        while node.kids and len(node.kids) == 1 and not node.count:
-            node = next(iter(node.kids.values()))
-            before += node.label
-        return node, before
+    def shed(self, goal: int) -> Iterator[tuple[str, bytes, Node]]:
+        """Cuts off subtrees, the heaviest at any depth, until ``size`` is at most ``goal``.
+
+        Gives the name of each, the bytes before it and its top node.  One string stays
+        in any case, so each round settles some.
+        """
+        weight: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        order = list(_nodes(self.root))
+        for node in reversed(order):
+            kids = (node.kids or {}).values()
+            weight[id(node)] = len(node.label) + 200 + sum(weight[id(k)] for k in kids)
+            ends[id(node)] = (node.count > 0) + sum(ends[id(k)] for k in kids)
+        while self.size > goal:
+            node, before, path = self.root, b"", [self.root]
+            while True:
+                left = [(weight[id(k)], c, k) for c, k in (node.kids or {}).items() if not k.gone]
+                if not left:
+                    return
+                heavy, first, kid = max(left, key=lambda x: x[:2])
+                rest = ends[id(self.root)] - ends[id(kid)]
+                if any(not k.gone for k in (kid.kids or {}).values()) and (not rest or heavy > self.size - goal):
+                    node, before = kid, before + kid.label
+                    path.append(kid)
+                    continue
+                break
+            if not rest:
+                return
+            name = _name(before, first)
+            mark = node.kids[first] = Node(b"", name)
+            weight[id(mark)], ends[id(mark)] = 200, 0
+            for upper in path:
+                weight[id(upper)] -= heavy - 200
+                ends[id(upper)] -= ends[id(kid)]
+            self.size -= heavy - 200
+            yield name, before, kid
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -149,7 +183,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _tries(budget: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, spilled, late = Trie(), {}, {}
-        gone: tuple[bytes, set[int]] | None = None  # prefix before the subtrees that left, their first bytes
         for batch in batches:
             back = []
             for sha, n, low, count, norm, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -157,22 +190,14 @@ def _tries(budget: int):
                     a = late.get((sha, n))
                     late[sha, n] = (least(a[0], low) if a else low, (a[1] if a else 0) + count)
                     continue
-                if gone and norm.startswith(gone[0]) and len(norm) > len(gone[0]) and norm[len(gone[0])] in gone[1]:
-                    back.append((sha, n, low, count, _name(gone[0], norm[len(gone[0])]), norm))
-                    spilled[sha, n] = back[-1][4]
-                    continue
-                trie.insert(norm, sha, low, count)
-                if trie.size > budget:
-                    node, before = trie.branching()
-                    if gone is None and node.kids and len(node.kids) > 1 or gone and gone[0] == before and node.kids and len(node.kids) > 1:
-                        gone = gone or (before, set())
-                        first, kid = max(node.kids.items(), key=lambda x: sum(len(t.label) + 200 for t in _nodes(x[1])))
-                        gone[1].add(first)
-                        del node.kids[first]
-                        trie.size -= sum(len(t.label) + 200 for t in _nodes(kid))
-                        for word, end in trie.terminals(kid, before):
-                            back.append((end.sha, len(word), end.owner, end.count, _name(before, first), word))
-                            spilled[end.sha, len(word)] = back[-1][4]
+                if name := trie.insert(norm, sha, low, count):
+                    back.append((sha, n, low, count, name, norm))
+                    spilled[sha, n] = name
+                elif trie.size > budget:
+                    for name, before, top in trie.shed(budget // 2):
+                        for word, end in trie.terminals(top, before):
+                            back.append((end.sha, len(word), end.owner, end.count, name, word))
+                            spilled[end.sha, len(word)] = name
             yield _owned(back)
         done, seen = [], set()
         for word, end in trie.terminals():
@@ -219,15 +244,16 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     todo = rows.mapInArrow(releasing(_distinct), "sha string, len long, min_id long, n long, norm binary")
     todo = todo.withColumn("part", F.xxhash64("len", "sha"))
-    done = None
+    done, level = None, 0
     while True:
+        level += 1
         made = written(todo.repartition("part").mapInArrow(releasing(_tries(budget)), OWNER), "owners")
         settled = made.where("spill is null").select("sha", "len", "keep_id", "group_size")
         done = settled if done is None else done.unionByName(settled)
         rest = made.where("spill is not null")
         if rest.isEmpty():
             return done
-        todo = rest.select("sha", "len", F.col("keep_id").alias("min_id"), F.col("group_size").alias("n"), "norm", F.xxhash64("len", "sha", "spill").alias("part"))
+        todo = rest.select("sha", "len", F.col("keep_id").alias("min_id"), F.col("group_size").alias("n"), "norm", F.xxhash64("len", "sha", F.lit(level)).alias("part"))
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +272,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = owners(docs, id_col, text_col, budget)
     copied = own.where("group_size > 1")
     total = docs.count()
-    ids = rows.mapInArrow(releasing(_digests), "doc_id long, sha string, len long")
+    ids = written(rows.mapInArrow(releasing(_digests), "doc_id long, sha string, len long"), "digests")
     met = split_hot(ids, ["sha", "len"], copied, "group_size", total)
     return met.select(
         "doc_id",

@@ -25,14 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import crc_mod, releasing
+from veriloom.llm.common import crc_mod, releasing, written
 from veriloom.llm.ngrams import counts
 
 BITS = 13
 SIZES = (1, 2, 3)
 UNKNOWN = "und"
-#: Languages that may be told apart; the labels are few, not as many as documents.
-MOST = 512
 
 
 class Model(NamedTuple):
@@ -80,9 +78,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sums = rows.mapInArrow(releasing(_summed), "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     per = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"]).alias("n"))
-    got = {r["lang"]: np.array(r["n"]) for r in per.limit(MOST + 1).collect()}
-    if len(got) > MOST:
-        raise ValueError(f"more than {MOST} languages")
+    # one row of 2 ** BITS counts for each language; languages do not grow with the documents
+    got = {r["lang"]: np.array(r["n"]) for r in per.toLocalIterator()}
     names = sorted(got)
     if len(names) < 2:
         return Model(names, np.ones((len(names), 0)), np.zeros((1 << BITS, 0)), np.ones(0))
@@ -133,7 +130,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     """``keep`` columns with lang_pred, score and ambiguous."""
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(releasing(_predict(model)), f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return written(rows.mapInArrow(releasing(_predict(model)), f"{kinds}, lang_pred string, score double, ambiguous boolean"), "languages")
 
 
 def held_out(id_col: str = "doc_id", divisor: int = 4, rest: int = 2) -> Column:

@@ -12,6 +12,8 @@ A file whose whole text matches, or which has the name of a licence file, states
 the licence of its directory; a file without a header of its own inherits from the
 nearest directory above it, found by joins of path prefixes.
 
+Relative and absolute paths have roots of their own.
+
 Results in the odd cases: null text counts as empty; a null path is a file
 without a directory, which inherits nothing; ties go to the higher score, then to
 the licence first in the alphabet; rows that repeat a path are files of their
@@ -30,18 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import split_hot, written
+from veriloom.llm.common import releasing, split_hot, written
 
 # Notices by which licences are stated.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
     "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0 1.0)."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 NAMES = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 ALIKE = 0.75
@@ -140,14 +150,17 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     # as many rows as the templates have words
     df = {r["word"]: r["df"] for r in rows.select("text").mapInArrow(_present, "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()}
-    found = written(rows.mapInArrow(_scanned(df, alike), "doc_id long, path string, license string, score double, whole boolean"), "licenses")
-    found = found.withColumn("dir", F.coalesce(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")))
+    found = written(rows.mapInArrow(releasing(_scanned(df, alike)), "doc_id long, path string, license string, score double, whole boolean"), "licenses")
+    # a relative root is "", the absolute one "/"
+    found = found.withColumn("dir", F.when(F.col("path").rlike("^/[^/]*$"), "/").otherwise(F.coalesce(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit(""))))
     licence_file = F.col("license").isNotNull() & (F.col("whole") | F.regexp_extract("path", r"([^/]*)$", 1).rlike(NAMES))
     stated = found.where(licence_file & F.col("path").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
     stated = stated.select(F.col("dir").alias("above"), F.col("best.license").alias("dir_license"), (-F.col("best.score")).alias("dir_score"))
     dirs = found.where(F.col("path").isNotNull()).groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
-    names = F.split("dir", "/")
-    ups = dirs.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(names)))).withColumn("above", F.array_join(F.slice(names, 1, F.col("depth")), "/")).where("depth > 0 or dir = '' or dir like '/%'")
+    names, absolute = F.split("dir", "/"), F.col("dir").startswith("/")
+    depths = F.sequence(absolute.cast("int"), F.when(F.col("dir") == "", 0).when(F.col("dir") == "/", 1).otherwise(F.size(names)))
+    prefix = F.when(absolute & (F.col("depth") == 1), "/").otherwise(F.array_join(F.slice(names, 1, F.col("depth")), "/"))
+    ups = dirs.withColumn("depth", F.explode(depths)).withColumn("above", prefix)
     nearest = ups.join(stated, "above").groupBy("dir", "files").agg(F.max_by(F.struct("above", "dir_license", "dir_score"), "depth").alias("up"))
     per = written(nearest.select("dir", "files", "up.*"), "directories")
     met = split_hot(found, ["dir"], per, "files", found.count())

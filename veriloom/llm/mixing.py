@@ -7,9 +7,9 @@ probabilities (keeping the sum of expected words) until one of them is 0 or 1,
 and the other goes on to the next meeting.  Documents are dealt by hash to
 buckets of about FAN; each bucket folds to one open document, and the open ones
 of FAN buckets meet at the next level, up to one document for a source, which is
-rounded; settled documents of about the size of what that leaves short or over
-then change their draws.  So a source's words miss its target by less than half a
-document.  All of it is built-in DataFrame functions; no Python runs on rows.
+drawn by its probability.  Four settled documents at most, of about the size of
+what that leaves short or over, then change their draws; these are not random.
+So a source's words miss its target by less than a document.  All of it is built-in DataFrame functions; no Python runs on rows.
 
 Results in the odd cases: null text has size 0, takes no part in the rounding
 and is taken 0 times; a null source is a source of its own, last in the order;
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             settled = settled.unionByName(done.select("source", "doc_id", "size", (F.col("k") + F.col("copies")).alias("copies")))
         left = folded.where("at.open is not null").select("source", "at.open.*", "bucket")
         open_ = left.withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
-    last = left.withColumn("copies", (F.col("p") >= 0.5).cast("int")).withColumn("short", (F.col("p") - F.col("copies")) * F.col("size"))
+    last = left.withColumn("copies", (draw(seed + levels, F.col("doc_id"), F.col("size")) < F.col("p")).cast("int")).withColumn("short", (F.col("p") - F.col("copies")) * F.col("size"))
     settled = settled.unionByName(last.select("source", "doc_id", "size", (F.col("k") + F.col("copies")).alias("copies")))
     settled = settled.unionByName(_exchanged(first, last.select("source", "short")))
     return (

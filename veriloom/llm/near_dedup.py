@@ -296,9 +296,11 @@ def _pairs(members: DataFrame, hubs: DataFrame, alike: float) -> DataFrame:
 
 def _met(pairs: DataFrame, words: DataFrame, met: list[DataFrame], alike: float) -> DataFrame:
     """The pairs that did not meet before, with their similarity."""
-    pairs = pairs.distinct()
+    had = F.lit(None).cast("binary")
+    every = pairs.withColumn("had", F.lit(False))
     for earlier in met:
-        pairs = pairs.join(few(earlier.select("a", "b")), ["a", "b"], "left_anti")
+        every = every.unionByName(earlier.select("a", "b", had.alias("a_root"), had.alias("b_root"), F.lit(True).alias("had")))
+    pairs = every.groupBy("a", "b").agg(F.max("a_root").alias("a_root"), F.max("b_root").alias("b_root"), F.max("had").alias("had")).where("not had").drop("had")
     first, second = words.select(F.col("node").alias("a"), F.col("words").alias("a_words")), words.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
     if (words.agg(F.sum(F.length("words") + 64)).first()[0] or 0) <= SMALL:
         first, second = F.broadcast(first), F.broadcast(second)

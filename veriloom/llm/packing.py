@@ -77,40 +77,35 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     scale = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
     weights = np.array(capacity.weights) / np.sum(capacity.weights)
     items = np.stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2], 1) / scale
-    room = np.empty((len(lengths), 3))
-    tokens = np.empty(len(lengths), np.int64)  # exact, against rounding in the scaled copy
     where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    used, open_ = 0, np.empty(0, np.int64)
-    order = np.argsort(-lengths, kind="stable")
+    # the open sequences, side by side: their number, what remains, and the exact tokens of it
+    names, room, tokens = np.empty(len(lengths), np.int64), np.empty((3, len(lengths))), np.empty(len(lengths), np.int64)
+    used = m = 0
     least = int(lengths.min()) if len(lengths) else 0
-    for i in order:
-        if lengths[i] == capacity.tokens:  # fits an empty sequence only, and fills it
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        length, item = lengths[i], items[i][:, None]
+        if length == capacity.tokens:  # fits an empty sequence only, and fills it
             where[i], offset[i] = used, 0
-            room[used], tokens[used] = 1.0 - items[i], 0
             used += 1
             continue
-        if len(open_):
-            left = room[open_] - items[i]
-            fits = (tokens[open_] >= lengths[i]) & (left > -1e-9).all(1)
-            if capacity.rule == "dot":
-                score = -(room[open_] * items[i] * weights).sum(1)
-            else:
-                score = (left * left * weights).sum(1)
-            score = np.where(fits, score, np.inf)
-            k = int(score.argmin())
-            at = open_[k] if score[k] < np.inf else -1
+        left = room[:, :m] - item
+        fits = (tokens[:m] >= length) & (left.min(0, initial=0.0) > -1e-9)
+        if capacity.rule == "dot":
+            score = -((weights[:, None] * item).T @ room[:, :m])[0]
         else:
-            at = -1
-        if at < 0:
-            at = used
-            room[at], tokens[at] = 1.0, capacity.tokens
+            score = weights @ (left * left)
+        score[~fits] = np.inf
+        k = int(score.argmin()) if m else -1
+        if k < 0 or score[k] == np.inf:
+            k, m = m, m + 1
+            names[k], room[:, k], tokens[k] = used, 1.0, capacity.tokens
             used += 1
-            open_ = np.append(open_, at)
-        where[i], offset[i] = at, capacity.tokens - tokens[at]
-        room[at] -= items[i]
-        tokens[at] -= lengths[i]
-        if tokens[at] < least:
-            open_ = open_[open_ != at]
+        where[i], offset[i] = names[k], capacity.tokens - tokens[k]
+        room[:, k] -= items[i]
+        tokens[k] -= length
+        if tokens[k] < least:  # full: the last open one takes its place
+            m -= 1
+            names[k], room[:, k], tokens[k] = names[m], room[:, m], tokens[m]
     return where, offset
 
 
@@ -130,7 +125,8 @@ def packed(pieces: DataFrame, capacity: Capacity = Capacity(), block: int = BLOC
     columns, out = PIECE.replace(" long", "").replace(" int", "").split(", "), None
     for level in range(2):
         n = max(1, -(-pieces.count() // block))
-        dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.lit(level), *columns), F.lit(n)))
+        # equal pieces are dealt by a draw of their own
+        dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.rand(level), *columns), F.lit(n)))
         done = written(dealt.groupBy("block").applyInPandas(_block(capacity, level), f"{PIECE}, sequence_id long, offset long, filled long"), "packed")
         full = F.col("filled") >= reopen * capacity.tokens if level == 0 else F.lit(True)
         settled = done.where(full).drop("filled")

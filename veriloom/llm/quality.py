@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import crc_mod
+from veriloom.llm.common import crc_mod, releasing, written
 from veriloom.llm.ngrams import counts
 
 #: Labelled rows of each label that are learned from.
@@ -153,5 +153,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted; labels of held-out rows are not learned from."""
     space = fit(docs, labels.where(~held_out(id_col)), document_frequencies(docs, text_col), id_col=id_col, text_col=text_col, label_col=label_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(space), "doc_id long, score double")
+    scored = written(rows.mapInArrow(releasing(_score(space)), "doc_id long, score double"), "scores")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

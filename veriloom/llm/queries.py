@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end=0)
+    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end=0, held=700_000)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,39 +22,45 @@ import pyarrow.compute as pc
 STEP, CALL = 1 << 22, 4096
 #: Pieces of a generation that are remembered.
 HELD = 250_000
-SPACE, LINE, COMMA, STOP = b" \n,."
+#: Of each byte: 1 for those that a piece may begin with anywhere, 2 for those that must follow a letter or digit.
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b" \n")], KINDS[list(b",.")] = 1, 2
 
 
-class Known:
-    """Ids of pieces; None for one that ends in white space, which the next may belong to.
+#: What is remembered of a piece that ends in white space, which the next may belong to.
+OPEN = b"?"
+
 
-    Two generations are kept: a piece not met in the newer one is looked up in the older.
-    """
+class Known:
+    """Ids of pieces.  Two generations are kept: a piece not met in the newer one is looked up in the older."""
 
     def __init__(self, tokenizer, held: int = HELD) -> None:
         self.tokenizer, self.held = tokenizer, held
-        self.newer: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def ids(self, pieces: list[str]) -> list[bytes | None]:
+    def ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of each of ``pieces``, which differ from each other."""
         if len(self.newer) > self.held:
             self.newer, self.older = {}, self.newer
         newer, older, many = self.newer, self.older, []
-        for piece in pieces:
-            if piece in newer:
-                continue
-            if piece in older:
-                newer[piece] = older[piece]
+        found = list(map(newer.get, pieces))
+        fresh = [k for k, x in enumerate(found) if x is None]
+        for k in fresh:
+            piece = pieces[k]
+            if (had := older.get(piece)) is not None:
+                newer[piece] = had
             elif piece[-1:].isspace():
-                newer[piece] = None
+                newer[piece] = OPEN
             elif piece[:1] in (" ", "\n"):
                 many.append(piece)
             else:
                 newer[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         for at in range(0, len(many), CALL):
             newer.update(self.together(many[at : at + CALL]))
-        return list(map(newer.__getitem__, pieces))
+        for k in fresh:
+            found[k] = newer[pieces[k]]
+        return found
 
     def together(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids of pieces that begin with white space and don't end in it, from one text made of them."""
@@ -121,22 +127,25 @@ class Encoder:
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
         bounds = bounds - bounds[0]
-        marked, first = (raw == COMMA) | (raw == STOP), np.zeros(len(raw) + 1, bool)
+        kind, first = KINDS[raw], np.zeros(len(raw) + 1, bool)
         first[bounds] = True
-        marks = np.flatnonzero(marked)
-        edges = np.append(np.flatnonzero(marked | (raw == SPACE) | (raw == LINE) | first[:-1]), len(raw)).astype(np.int32)
+        marks = np.flatnonzero(kind == 2)
+        edges = np.append(np.flatnonzero((kind > 0) | first[:-1]), len(raw)).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
         ids = self.known.ids(pieces.dictionary.to_pylist())
         index = pieces.indices.to_numpy()
-        count = np.fromiter((0 if x is None else len(x) // 4 for x in ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(x for x in ids if x), "<u4")
-        begin, own = (np.cumsum(count) - count)[index], count[index]
-        ends = np.cumsum(own)
-        whole = flat[np.repeat(begin - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        closes = size != len(OPEN)
+        flat = np.frombuffer(b"".join(ids if closes.all() else [x for x, ok in zip(ids, closes, strict=True) if ok]), "<u4")
+        count = size >> 2
+        begin, own = (np.cumsum(count, dtype=np.int32) - count)[index], count[index]
+        ends = np.cumsum(own, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        whole = flat[np.repeat(begin - (ends - own), own) + np.arange(total, dtype=np.int32)].tobytes()
         # where each text's pieces end among all pieces, and so its ids among all ids
-        ends = np.append(0, ends)[np.searchsorted(edges, bounds)] * 4
+        ends = np.append(0, ends).astype(np.int64)[np.searchsorted(edges, bounds)] * 4
         odd = np.zeros(len(texts), bool)
-        open_ = edges[:-1][np.fromiter((x is None for x in ids), bool, len(ids))[index]]
+        open_ = edges[:-1][~closes[index]]
         for at in (open_, marks[loose(raw, marks, first)]):
             odd[np.searchsorted(bounds, at, side="right") - 1] = True
         out = list(map(whole.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist())))
