@@ -55,11 +55,8 @@ def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.branch_rows(derived.evidence(spark, sf_dir).reports)
-    each = [R.violations(rows, p).groupBy().agg(F.count(F.lit(1)).alias("violations")).select(F.lit(p).alias("policy"), "violations") for p in R.POLICIES]
-    out = each[0]
-    for one in each[1:]:
-        out = out.unionByName(one)
-    return out
+    counts = rows.agg(*[F.count_if(F.col("verdict").isin(*fails) if fails else F.lit(False)).alias(policy) for policy, fails in R.POLICIES.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("violations")) for p in R.POLICIES])).alias("v")).select("v.*")
 
 
 def report_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,11 @@ class Store:
         return self._table([name] if name else [], SESSIONS)
 
     def verify(self) -> dict:
-        return verify(self.events())
+        """The chain's own check, and that it ends where the manifest says."""
+        found, told = verify(self.events()), self.manifest()
+        if found["ok"] and (found["events"], found["head"]) != (told["count"], told["head"]):
+            return {"ok": False, "broken_at": found["events"] + 1, "expected": told["head"], "found": found["head"]}
+        return found
 
     def unseen(self, texts: DataFrame) -> DataFrame:
         """Scanned files (file, file_size, file_mtime) that are not stored as they are now."""
@@ -85,8 +89,7 @@ class Store:
 
     def ingest(self, files: list[str], repo: str | None = None) -> Ingested:
         """Appends what is new in the transcripts; those of unchanged size and time are not read."""
-        stat = T.scan(self.spark, files).select("file", "file_size", "file_mtime")
-        fresh = [r["file"] for r in self.unseen(stat).select("file").collect()]  # names of files that changed
+        fresh = [r["file"] for r in self.unseen(T.stat(self.spark, files)).select("file").collect()]  # names of files that changed
         before = self.manifest()
         if not fresh:
             return Ingested(before["head"], 0, 0, 0, len(files), {}, [])

@@ -60,6 +60,14 @@ def scan(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.read.text(files, wholetext=True).select(meta["file_path"].alias("file"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_mtime"), F.col("value").alias("text"))
 
 
+def stat(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, file_size, file_mtime of each transcript, without reading it."""
+    if not files:
+        return scan(spark, files).drop("text")
+    meta = F.col("_metadata")
+    return spark.read.format("binaryFile").load(files).select(meta["file_path"].alias("file"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_mtime"))
+
+
 def records(texts: DataFrame) -> DataFrame:
     """file, seq (1-based physical line), v: a variant, null where the line is no JSON."""
     texts.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
