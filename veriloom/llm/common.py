@@ -69,12 +69,20 @@ def sized(rows: int, each: int = 100_000) -> int:
     return max(1, -(-rows // each))
 
 
+def folders(table: DataFrame) -> set[str]:
+    """The folders of the files that ``table`` reads."""
+    return {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Removes tables that ``written`` made and no later step reads."""
     for table in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(table.sparkSession, *folders(table))
 
 
 def releasing(run: Callable) -> Callable:

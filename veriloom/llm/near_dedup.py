@@ -365,12 +365,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(rows.mapInArrow(releasing(_sketches), "doc_id long, node binary, n int, buckets array<long>, words binary"), "sketches")
     roots = classes(rows, alike)
-    per = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    ids = written(rows.select("doc_id", "node"), "ids")
+    discarded(rows)
+    per = ids.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     per = per.withColumn("root", F.col("node")) if roots is None else per.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = written(per, "nodes")
     groups = per.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size")).where("class_size > 1")
     known = written(per.join(groups, "root").select("node", "copies", "class_id", "class_size"), "known")
-    met = split_hot(rows.select("doc_id", "node"), ["node"], known, "copies", rows.count())
+    met = split_hot(ids, ["node"], known, "copies", ids.count())
     alone = F.col("class_size").isNull()
     return met.select(
         "doc_id",
