@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import few, without, written
+from veriloom.llm.common import discarded, few, folders, removed, without, written
 from veriloom.llm.exact_dedup import exact_dedup
 from veriloom.llm.language import UNKNOWN, identify
 from veriloom.llm.mixing import mix
@@ -23,12 +23,23 @@ ORACLE_SQL = None
 
 
 ROW = "_row"
+#: Folders of keyed tables that an earlier stage's result was read from.
+_KEYED: set[str] = set()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for each row, in the order of ids (null last) and then of texts' hashes."""
+    """``docs`` with a key for each row, in the order of ids (null last) and then of texts' hashes.
+
+    Keyed tables of earlier stages are removed, unless ``docs`` still reads them: a
+    stage's result is written before the next one takes it.
+    """
+    stale = _KEYED - folders(docs)
+    removed(docs.sparkSession, *stale)
+    _KEYED.difference_update(stale)
     order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return written(order.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    table = written(order.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    _KEYED.update(folders(table))
+    return table
 
 
 def spared(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -71,7 +82,10 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", n
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discarded(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
