@@ -5,7 +5,7 @@ import json
 from tests.transcripts import ran, said, write
 from veriloom.sources.store import Store
 from veriloom.streaming.follow import follow
-from veriloom.streaming.verdicts import STEP, streamed_verdicts
+from veriloom.streaming.verdicts import STEP, streamed_verdicts, verdict
 
 
 def test_follow(spark, tmp_path):
@@ -39,3 +39,12 @@ def test_verdicts_change(spark, tmp_path):
     run()
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert sorted(got) == [("s", 2, "test", "UNKNOWN"), ("s", 2, "test", "UNSUPPORTED"), ("s", 6, "test", "VERIFIED"), ("t", 2, "lint", "CONTRADICTED")]
+
+
+def test_runs_of_one_place():
+    """Runs of one step count in the order of ord, and at one place the worst, however they come."""
+    claim = {"seq": 4, "activity": "test", "assertion": "pass"}
+    runs = [(3, "test", "failed", 0), (3, "test", "passed", 1)]
+    assert {verdict(claim, rs, 1, False) for rs in (runs, runs[::-1])} == {"VERIFIED"}
+    runs = [(3, "test", "failed", 0), (3, "test", "passed", 0), (3, "test", "indeterminate", 0)]
+    assert {verdict(claim, rs, 1, False) for rs in (runs, runs[::-1])} == {"CONTRADICTED"}

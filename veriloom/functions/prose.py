@@ -32,7 +32,7 @@ def units(text: Column) -> Column:
 
 
 def may_claim(sentence: Column) -> Column:
-    no = sentence.endswith("?") | sentence.endswith(":") | matches(sentence, *[(p, "i") for p in P.INSTRUCTION]) | matches(sentence, (P.INTENT, "i")) | matches(sentence, (P.NEGATIVE, "i"))
+    no = sentence.endswith("?") | sentence.endswith(":") | matches(sentence, (P.INSTRUCTION, "i")) | matches(sentence, (P.INTENT, "i")) | matches(sentence, (P.NEGATIVE, "i"))
     return ~no & (units(sentence) <= P.LONGEST)
 
 

@@ -1,8 +1,8 @@
 """Regular expressions with one meaning on the JVM and in Python.
 
 The tables of patterns are written for ECMAScript's rules: word boundaries, digits
-and word characters are ASCII, white space is Unicode's, ``^`` in line mode follows
-LF, CR, LS and PS, and ``$`` is the end of the text.  ``java`` and ``python``
+and word characters are ASCII, white space is Unicode's, ``.`` is all but LF, CR, LS
+and PS, ``^`` in line mode follows these, and ``$`` is the end of the text.  ``java`` and ``python``
 rewrite a pattern so that Spark's and Python's engines keep to these rules.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space: code points, and ranges of them.
 SPACE = ["\t", "\n", "\v", "\f", "\r", " ", "\u00a0", "\u1680", ("\u2000", "\u200a"), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff"]
+#: The idiom for any character; a negated class can't stand in a class in Python.
+ANY = r"[\s\S]"
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
@@ -25,6 +27,10 @@ def portable(pattern: str, lines: bool = False) -> str:
     """``pattern`` for either engine; ``lines`` is the m flag."""
     spaces, out, at, within = _spaces(), [], 0, False
     while at < len(pattern):
+        if pattern.startswith(ANY, at):
+            out.append("(?s:.)")
+            at += len(ANY)
+            continue
         two = pattern[at : at + 2]
         if two[0] == "\\" and len(two) == 2:
             out.append({"\\s": spaces if within else f"[{spaces}]", "\\S": f"[^{spaces}]", "\\b": "\\x08" if within else EDGE, "\\d": "0-9" if within else "[0-9]", "\\w": "A-Za-z0-9_" if within else "[A-Za-z0-9_]"}.get(two, two))
@@ -35,6 +41,8 @@ def portable(pattern: str, lines: bool = False) -> str:
             within = c != "]"
         elif c == "[":
             within = True
+        elif c == ".":
+            c = "[^\\n\\r\\u2028\\u2029]"
         elif c == "^" and lines:
             c = "(?<![^\\n\\r\\u2028\\u2029])"
         elif c == "$":

@@ -39,7 +39,7 @@ def activity(segment: Column) -> Column:
     """The activity of a segment without prefix noise; the first in order of precedence."""
     out = None
     for name, starts in P.ACTIVITIES.items():
-        found = F.rlike(segment, F.lit("^(?:" + "|".join(portable(p) for p in starts) + ")"))
+        found = matches(segment, *[(p, "") for p in starts])
         out = F.when(found, name) if out is None else out.when(found, name)
     return out.otherwise("other")
 

@@ -106,7 +106,7 @@ branches AS (
 """
 _VERDICT = "['CONTRADICTED', 'UNSUPPORTED', 'UNKNOWN', 'VERIFIED'][rank + 1] AS verdict"
 _LINES = r"list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^\s{4,}\S') AND NOT regexp_matches(l, '^\s*\|'))"
-_NO = " OR ".join(f"regexp_matches(s, {_q('(?i)' + p)})" for p in [*P.INSTRUCTION, P.INTENT, P.NEGATIVE])
+_NO = " OR ".join(f"regexp_matches(s, {_q('(?i)' + p)})" for p in [P.INSTRUCTION, P.INTENT, P.NEGATIVE])
 _MAY = f"(NOT (s LIKE '%?' OR s LIKE '%:' OR {_NO}) AND length(s) <= {P.LONGEST})"
 _PROSE = rf"""
 WITH told AS (SELECT {"[" + ", ".join(_q(s) for s in SAID.values()) + "]"} AS t),
@@ -135,6 +135,10 @@ SQL = {
     "session_reports": _BASE + "SELECT session_id, verdict, summary, risk, claims, contradicted, unsupported, unknown, verified, runs, execs, edits, observed FROM reports",
     "branch_rollup": _BASE + f"SELECT label, branch, cwd, {_VERDICT}, summary, rank < 2 AS needs_attention, CAST(n_sessions AS INTEGER) AS n_sessions, first_session, execs, edits, tokens FROM branches",
     "risk_queue": _BASE + f"SELECT CAST(row_number() OVER (ORDER BY rank, execs DESC, row_ord) AS INTEGER) AS place, label, {_VERDICT}, execs FROM branches",
+    "headline_finding": _BASE + """SELECT b.label, f.verdict, f.activity, f.sentence, f.reason
+        FROM (SELECT label FROM branches WHERE rank < 2 ORDER BY rank, execs DESC, row_ord LIMIT 1) b
+        JOIN reports r ON r.folder || '/' || r.branch = b.label JOIN ranked f ON f.session_id = r.session_id
+        ORDER BY f.rank, r.started_at, r.session_id, f.seq * 10 + f.claim_no LIMIT 1""",
     "verdict_tally": _BASE + "SELECT count(*) FILTER (WHERE rank = 0) AS CONTRADICTED, count(*) FILTER (WHERE rank = 1) AS UNSUPPORTED, count(*) FILTER (WHERE rank = 2) AS UNKNOWN, count(*) FILTER (WHERE rank = 3) AS VERIFIED FROM ranked",
     "policy_gate": _BASE + "SELECT policy, count(*) FILTER (WHERE rank < worst) AS violations FROM (VALUES ('contradicted', 1), ('unsupported', 2), ('unknown', 3), ('never', 0)) p(policy, worst), branches GROUP BY policy",
     "report_digest": _BASE + """SELECT session_id, verdict, sentence, CAST(any_value(len(shown)) AS INTEGER) AS runs_shown, array_to_string(shown, '|') AS commands, string_agg(activity, ',' ORDER BY first) AS activities

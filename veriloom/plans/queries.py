@@ -49,6 +49,11 @@ def risk_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(place.alias("place"), "label", "verdict", "execs")
 
 
+def headline_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = derived.evidence(spark, sf_dir)
+    return R.headline(R.branch_rows(e.reports), e.reports, e.findings).drop("evidence")
+
+
 def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tally(derived.evidence(spark, sf_dir).findings)
 
@@ -217,7 +222,7 @@ def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [asof_verdict, observed_runs, session_reports, branch_rollup, risk_queue, verdict_tally, policy_gate, report_digest, later_runs, transcript_sessions, transcript_execs, transcript_claims, asof_join_orders, classify_command, split_segments, output_signs, prose_sentences, prose_claims, redact_text, redaction_counts, utf8_truncate, entropy, html_escape, encode_path, labels, chain_build, chain_breaks, anti_join_seen, highwater_append, upsert_coalesce]
+    own = [asof_verdict, observed_runs, session_reports, branch_rollup, risk_queue, headline_finding, verdict_tally, policy_gate, report_digest, later_runs, transcript_sessions, transcript_execs, transcript_claims, asof_join_orders, classify_command, split_segments, output_signs, prose_sentences, prose_claims, redact_text, redaction_counts, utf8_truncate, entropy, html_escape, encode_path, labels, chain_build, chain_breaks, anti_join_seen, highwater_append, upsert_coalesce]
     return {q.__name__: q for q in own}
 
 

@@ -174,6 +174,15 @@ def digest(findings: DataFrame, by: str = "session_id") -> DataFrame:
     return per.select(by, "verdict", "sentence", "activities", "first.reason", "first.evidence", "claim_ord").orderBy(by, rank(F.col("verdict")), "claim_ord")
 
 
+def headline(rows: DataFrame, reports_: DataFrame, findings: DataFrame) -> DataFrame:
+    """label, verdict, activity, sentence, reason, evidence: the worst finding of the first
+    branch that needs attention, the earliest of equally bad ones; no row if no branch does."""
+    first = rows.where("needs_attention").orderBy(rank(F.col("verdict")), F.col("execs").desc(), "row_ord").limit(1)
+    own = first.select("label", F.posexplode("sessions").alias("no", "id")).join(reports_.select("id", "session_id"), "id")
+    found = own.join(findings.select("session_id", "claim_ord", "verdict", "activity", "sentence", "reason", "evidence"), "session_id")
+    return found.orderBy(rank(F.col("verdict")), "no", "claim_ord").limit(1).drop("session_id", "id", "no", "claim_ord")
+
+
 def violations(rows: DataFrame, policy: str) -> DataFrame:
     fails = POLICIES[policy]
     return rows.where(F.col("verdict").isin(*fails) if fails else F.lit(False)).select("label", "verdict", "summary")

@@ -83,7 +83,7 @@ def evidence_lines(reports: DataFrame, findings: DataFrame) -> DataFrame:
     head = F.concat(F.coalesce("git_branch", F.lit("(no branch recorded)")), F.lit("  "), F.concat_ws(" · ", F.substring("id", 1, 8), "cwd", F.when(F.size("models") > 0, F.array_join("models", ", ")).otherwise("unknown model")))
     facts = F.concat(F.lit("  "), F.concat_ws(" · ", F.concat(F.col("execs").cast("string"), F.lit(" shell invocations")), F.concat(F.col("runs").cast("string"), F.lit(" classified run"), F.when(F.col("runs") == 1, "").otherwise("s")), F.concat(F.col("edits").cast("string"), F.lit(" file edits")), F.concat(number(F.col("input_tokens") + F.col("output_tokens")), F.lit(" tokens"))))
     note = F.when(F.col("unparsed_lines") > 0, F.concat(F.lit("\n  note: "), F.col("unparsed_lines").cast("string"), F.lit(" transcript lines could not be parsed"))).otherwise("")
-    return met.orderBy(F.coalesce("started_at", F.lit("")), "session_id").select(F.concat(head, F.lit("\n  "), tag(F.col("verdict")), F.lit("  "), F.col("summary"), F.lit("\n"), facts, F.lit("\n"), F.coalesce(F.concat(F.lit("\n"), "told"), F.lit("  no execution claims found in this session")), note).alias("line"))
+    return met.orderBy(F.coalesce("started_at", F.lit("")), "session_id").select(F.concat(head, F.lit("\n  "), tag(F.col("verdict")), F.lit("  "), F.col("summary"), F.lit("\n"), facts, F.lit("\n"), F.coalesce(F.concat(F.lit("\n"), "told"), F.lit("  no claims")), note).alias("line"))
 
 
 def annotations(violations: DataFrame, name: str = "veriloom") -> DataFrame:
@@ -97,17 +97,15 @@ def annotations(violations: DataFrame, name: str = "veriloom") -> DataFrame:
 def summary_markdown(violations: list, counts: dict, branches: int, sessions: int, policy: str, chain: dict | None = None, report: str | None = None) -> str:
     """The job summary of a gate; ``violations`` are the rows that fail it."""
     passed, n = not violations and (chain is None or chain["ok"]), len(violations)
-    out = ["## ✓ every execution claim holds up" if passed else f"## ✕ {n} branch{'es need' if n != 1 else ' needs'} reading", ""]
+    out = ["## ✓ gate passed" if passed else f"## ✕ {n} branch{'es need' if n != 1 else ' needs'} reading", ""]
     if chain is not None:
-        out += [f"Evidence chain intact — {chain['events']:,} events verified." if chain["ok"] else f"**Evidence chain broken at event {chain['broken_at']}.** Nothing after that point can be verified.", ""]
+        out += [f"The hashes of all {chain['events']:,} stored events agree." if chain["ok"] else f"**The store's chain is broken at event {chain['broken_at']}**, so its later events prove nothing.", ""]
     out += ["| Verdict | Claims |", "|---|---:|", *[f"| {MARKS[v]} {w} | {counts[v]} |" for v, w in zip(VERDICTS, ("Contradicted", "Unsupported", "Not determinable", "Verified"), strict=True)], ""]
-    out.append(f"Across **{branches}** branch{'' if branches == 1 else 'es'} in **{sessions}** session{'' if sessions == 1 else 's'}. Gate: `--fail-on {policy}`.")
+    out.append(f"Branches: {branches}; sessions: {sessions}; policy: `{policy}`.")
     if violations:
-        out += ["", "### Read these first", "", *[f"- **{v['label']}** — {v['verdict']}: {v['summary']}" for v in sorted(violations, key=lambda v: VERDICTS.index(v["verdict"]))]]
+        out += ["", "### Branches that fail the policy", "", *[f"- **{v['label']}** — {v['verdict']}: {v['summary']}" for v in sorted(violations, key=lambda v: VERDICTS.index(v["verdict"]))]]
     if report:
-        out += ["", f"Full evidence report written to `{report}` — upload it as an artifact to keep the proof."]
-    if passed:
-        out += ["", "_Every claim is either backed by an observed run or explicitly marked unverifiable._"]
+        out += ["", f"HTML report: `{report}`"]
     return "\n".join(out) + "\n"
 
 
@@ -122,7 +120,7 @@ def plain_gate(violations: list, counts: dict, branches: int, policy: str, chain
     n = len(violations)
     out = [f"ci · {branches} branch{'' if branches == 1 else 'es'} · {counts['CONTRADICTED']} contradicted · {counts['UNSUPPORTED']} unsupported · {counts['UNKNOWN']} not determinable · {counts['VERIFIED']} verified"]
     if chain is not None:
-        out.append(f"chain intact: {chain['events']} events" if chain["ok"] else f"chain BROKEN at event {chain['broken_at']}")
+        out.append(f"chain agrees over {chain['events']} events" if chain["ok"] else f"chain broken at event {chain['broken_at']}")
     out += [f"  {v['verdict']}  {v['label']} — {v['summary']}" for v in violations]
     out.append(f"gate passed (--fail-on {policy})" if not n else f"gate failed: {n} violation{'' if n == 1 else 's'} (--fail-on {policy})")
     return "\n".join(out) + "\n"
@@ -141,17 +139,24 @@ def html_rows(rows: DataFrame, reports: DataFrame, findings: DataFrame, digests:
     met = rows.join(inner, "label", "left")
     search = F.lower(F.concat_ws(" ", "label", "summary", "verdict"))
     verdicts = F.array_join(F.array_distinct(F.concat(F.array("verdict"), F.coalesce("present", F.array().cast("array<string>")))), " ")
-    body = F.when(F.coalesce("inner", F.lit("")) == "", "<p>This branch's sessions made no execution claims, so there is nothing to verify.</p>").otherwise(F.col("inner"))
+    body = F.when(F.coalesce("inner", F.lit("")) == "", "<p>No claims on this branch.</p>").otherwise(F.col("inner"))
     out = F.concat(F.lit('<details data-verdicts="'), verdicts, F.lit('" data-search="'), e(search), F.lit('"><summary class="'), "verdict", F.lit('">'), mark(F.col("verdict")), F.lit(" "), e("label"), F.lit(" — "), e("summary"), F.lit(" · "), number(F.col("execs")), F.lit(" cmd · "), number(F.col("edits")), F.lit(" edit</summary>"), body, F.lit("</details>"))
     return met.orderBy(rank(F.col("verdict")), F.col("execs").desc(), "row_ord").select(out.alias("html"))
 
 
-def html_frame(title: str, counts: dict, rows: int, head: str | None = None) -> tuple[str, str]:
-    """What stands before and after the branches of the self-contained report."""
+def html_headline(lead: DataFrame) -> DataFrame:
+    """An escaped HTML fragment of the report's headline finding."""
+    e = lambda c: X.html_escape(F.col(c))
+    out = F.concat(F.lit('<section class="'), "verdict", F.lit('"><h2>'), mark(F.col("verdict")), F.lit(" "), e("label"), F.lit("</h2><p>"), e("reason"), F.lit("</p><blockquote>"), e("sentence"), F.lit("</blockquote></section>"))
+    return lead.select(out.alias("html"))
+
+
+def html_frame(title: str, counts: dict, rows: int, head: str | None = None, lead: str = "") -> tuple[str, str]:
+    """What stands before and after the branches of the self-contained report; ``lead`` is HTML."""
     from html import escape
 
     chips = "".join(f'<label><input type="checkbox" name="v" value="{v}"> {v.lower()} {counts[v]:,}</label> ' for v in VERDICTS)
     policy = "default-src 'none'; style-src 'unsafe-inline'; script-src 'unsafe-inline'"
     chain = f"<p>chain head <code>{escape(head)}</code></p>" if head else ""
-    before = f'<!doctype html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{policy}"><title>{escape(title)}</title><style>{STYLE}</style></head><body><h1>{escape(title)}</h1><p>{rows:,} branches, {sum(counts.values()):,} claims</p>{chain}<p><input id="q" placeholder="filter"> {chips}</p>'
+    before = f'<!doctype html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{policy}"><title>{escape(title)}</title><style>{STYLE}</style></head><body><h1>{escape(title)}</h1><p>{rows:,} branches, {sum(counts.values()):,} claims</p>{chain}{lead}<p><input id="q" placeholder="filter"> {chips}</p>'
     return before, f"<script>{SCRIPT}</script></body></html>\n"

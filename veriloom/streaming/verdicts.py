@@ -4,7 +4,8 @@ Verdicts are not monotone: a claim without evidence becomes undeterminable when
 run comes later.  So the query is in update mode, and a row is emitted whenever a
 claim's verdict is new or has changed.  The state of a session is its runs, its
 claims with their last verdict, and whether anything ran; it goes after ``idle_ms`` of
-no input.  Rows may come in any order within and between batches.
+no input.  Rows may come in any order within and between batches: runs are ordered by
+``seq``, then by ``ord``, their place in the step; of runs at one place the worst counts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STEP = "session_id string, seq long, kind string, activity string, assertion string, outcome string"
+STEP = "session_id string, seq long, kind string, activity string, assertion string, outcome string, ord long"
 OUT = "session_id string, seq long, activity string, verdict string"
 
 
@@ -26,7 +27,7 @@ def verdict(claim: dict, runs: list, execs: int, hidden: bool) -> str:
     before = [r for r in own if r[0] <= claim["seq"]]
     if not before:
         return "UNKNOWN" if own or not execs or hidden else "UNSUPPORTED"
-    last = max(before, key=lambda r: r[0])[2]
+    last = max(before, key=lambda r: (r[0], r[3], r[2] == "failed", r[2] != "passed"))[2]
     if last == "failed":
         return "CONTRADICTED"
     return "VERIFIED" if last == "passed" or claim["assertion"] == "ran" else "UNKNOWN"
@@ -46,7 +47,8 @@ def _judge(idle_ms: int):
                 execs += r.kind == "exec"
                 hidden = hidden or r.outcome == "denied" or r.kind == "opaque"
                 if r.kind == "exec" and r.activity and r.outcome != "denied":
-                    runs.append((int(r.seq), r.activity, r.outcome))
+                    place = getattr(r, "ord", None)
+                    runs.append((int(r.seq), r.activity, r.outcome, 0 if pd.isna(place) else int(place)))
         changed = []
         for c in claims:
             now = verdict(c, runs, execs, hidden)
@@ -63,6 +65,7 @@ def _judge(idle_ms: int):
 def streamed_verdicts(steps: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
     """session_id, seq, activity, verdict of claims, again when a verdict changes.
 
-    ``steps`` has the columns of STEP; kind is exec (activity null if none), claim or opaque.
+    ``steps`` has the columns of STEP; kind is exec (activity null if none), claim or opaque;
+    ``ord`` may be absent or null, which is 0.
     """
     return steps.groupBy("session_id").applyInPandasWithState(_judge(idle_ms), OUT, "held string", "update", GroupStateTimeout.ProcessingTimeTimeout)
