@@ -17,6 +17,7 @@ from veriloom.llm.mixing import mix
 from veriloom.llm.near_dedup import near_dedup
 from veriloom.llm.packing import pack
 from veriloom.llm.quality import classify
+from veriloom.llm.repeats import without_repeats
 from veriloom.llm.tokens import vocabulary
 from veriloom.llm.topk import top_k
 
@@ -65,6 +66,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(documents(spark, sf_dir))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat": op10_chat,
+        "op11_substrings": op11_substrings,
         "pipeline": pipeline,
     }
 
