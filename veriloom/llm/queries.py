@@ -15,7 +15,9 @@ from veriloom.llm.language import identify
 from veriloom.llm.licenses import scan
 from veriloom.llm.mixing import mix
 from veriloom.llm.near_dedup import near_dedup
+from veriloom.llm.negatives import hard_negatives
 from veriloom.llm.packing import pack
+from veriloom.llm.prefixes import prefix_trie
 from veriloom.llm.quality import classify
 from veriloom.llm.repeats import without_repeats
 from veriloom.llm.tokens import vocabulary
@@ -72,6 +74,16 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("node")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +103,8 @@ def queries() -> dict[str, Query]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_chat": op10_chat,
         "op11_substrings": op11_substrings,
+        "op12_negatives": op12_negatives,
+        "op13_prefixes": op13_prefixes,
         "pipeline": pipeline,
     }
 
@@ -109,6 +123,54 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
             FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
         """,
+        "op12_negatives": """
+            WITH usable AS (
+                SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                       list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), scored AS (
+                SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                       CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+                FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+            ), positives AS (
+                SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+            )
+            SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+            FROM positives JOIN scored n USING (anchor_id)
+            WHERE NOT same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+            WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) QUALIFY rank <= 5
+        """,
+        "op13_prefixes": """
+            WITH lists AS (
+                SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+                FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+            ), summed AS (
+                SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                    lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) for k in range(8)]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS sum
+                FROM lists
+            ), rebuilt AS (
+                SELECT c.conv_id, coalesce(b.turns[1:xor(c.sum, 4294967295) % 9], []) || c.turns[xor(c.sum, 4294967295) % 9 + 1:] AS turns
+                FROM summed c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 5
+            ), prefixes AS (
+                SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+            ), nodes AS (
+                SELECT turns[1:depth] AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                       sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+                FROM prefixes GROUP BY ALL
+            ), kids AS (
+                SELECT key[1:depth - 1] AS key, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+            ), sized AS (
+                SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(key[depth].t) END AS saved
+                FROM nodes LEFT JOIN kids USING (key, depth)
+            )
+            SELECT a.conv_id, a.depth, any_value(p.conv_id) AS parent_conv_id, a.n_convs, a.n_children,
+                   count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens, a.ends_sha256
+            FROM sized a JOIN sized b ON b.depth >= a.depth AND b.key[1:a.depth] = a.key
+            LEFT JOIN nodes p ON p.depth = a.depth - 1 AND p.key = a.key[1:a.depth - 1]
+            GROUP BY a.key, a.conv_id, a.depth, a.n_convs, a.n_children, a.ends_sha256
+        """,
         "op9_exact_dedup": r"""
             WITH normal AS (
                 SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

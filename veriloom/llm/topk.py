@@ -34,11 +34,16 @@ FAN = 16
 FOUND = "query_id long, vec_id long, score long, shard long"
 
 
+def floors(x: Column, scale: int) -> Column:
+    """floor(scale * x) of each component, as doubles; from 2**52 on a double is whole already, and floor() would stop at 64 bits."""
+    return F.transform(x, lambda e: F.when(F.abs(e * scale) < 2.0**52, F.floor(e * scale).cast("double")).otherwise(e * scale))
+
+
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """vec_id, v: the whole numbers floor(scale * x), for usable rows."""
     x = F.col(vector_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return vectors.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"))
+    return vectors.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), floors(x, scale).alias("v"))
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
