@@ -104,6 +104,13 @@ def _split(texts: pa.Array | pa.ChunkedArray) -> Iterator[list[bytes]]:
         yield (text or b"").split()  # of bytes: at the six ASCII white-space characters
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """If each value is in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
@@ -171,7 +178,7 @@ def _hits(table: pa.Table) -> pa.Table:
     rows = []
     bits = lambda c, k: np.unpackbits(np.frombuffer(c, np.uint8), count=k).astype(bool)
     for unit, bucket, own, twice, blocks in zip(table.column("unit").to_pylist(), table.column("bucket").to_pylist(), lists, table.column("twice").to_pylist(), table.column("blocks").to_pylist(), strict=True):
-        hit = own[bits(blocks, len(own)) & (bits(twice, len(own)) | np.isin(own, shared))]
+        hit = own[bits(blocks, len(own)) & (bits(twice, len(own)) | _among(own, shared))]
         if len(hit):
             rows.append((unit, bucket, hit.tobytes(), None))
     return _answers(rows)
@@ -194,7 +201,7 @@ class Unit:
             if n <= 0:
                 continue
             code = own(words)
-            hit = np.isin(keyed(runs(code, block), buckets)[::block], hits)
+            hit = _among(keyed(runs(code, block), buckets)[::block], hits)
             if not hit.any():
                 continue
             at = np.flatnonzero(hit[(np.arange(n) + block - 1) // block])  # by the first block in each window
