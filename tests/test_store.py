@@ -46,13 +46,53 @@ def test_shortened():
     assert shortened("abc", 100) == ("abc", False)
 
 
+def made(spark, n=60, sessions=("a", "b", None)):
+    rows = [(s, k * 90, json.dumps({"n": k})) for s in sessions for k in range(n)]
+    return chain.extend(spark.createDataFrame(rows, "session_id string, seq long, payload string"), ["seq"])
+
+
 def test_chain(spark):
-    rows = spark.createDataFrame([(k, json.dumps({"n": k})) for k in range(50)], "k int, payload string")
-    made = chain.extend(rows, ["k"])
-    assert chain.verify(made)["events"] == 50
-    changed = made.withColumn("payload", F.when(F.col("id") == 7, "{}").otherwise(F.col("payload")))
-    assert chain.verify(changed)["broken_at"] == 7
-    assert chain.verify(made.where("id <> 9"))["broken_at"] == 10
+    """Breaks are found where they are; the root tells of cut ends and missing sessions."""
+    links = made(spark).cache()
+    depth = 1
+    root = chain.root(chain.tree(chain.heads(links), depth))
+    assert chain.verify(links, root, depth) == {"ok": True, "events": 180, "root": root}
+    own = (F.col("session_id") == "b") & (F.col("seq") == 4500)
+    changed = links.withColumn("payload", F.when(own, "{}").otherwise(F.col("payload")))
+    got = chain.verify(changed)
+    assert (got["ok"], got["session"], got["broken_at"]) == (False, "b", 4500)
+    assert chain.verify(links.where(~own))["broken_at"] == 4590
+    for cut in (links.where("not (session_id = 'a' and seq >= 5000)"), links.where("session_id <=> 'a' or session_id is null")):
+        assert chain.verify(cut)["ok"] and not chain.verify(cut, root, depth)["ok"]
+
+
+def test_chain_goes_on(spark):
+    """A chain built in two parts is the chain built at once, and so is the tree that is brought up to date."""
+    rows = made(spark, 300).select("session_id", "seq", "payload").cache()
+    whole = chain.extend(rows, ["seq"])
+    first = chain.extend(rows.where("seq < 9000"), ["seq"]).cache()
+    second = chain.extend(rows.where("seq >= 9000"), ["seq"], chain.heads(first)).cache()
+    key = lambda df: sorted((str(r["session_id"]), r["seq"], r["id"], r["hash"]) for r in df.collect())
+    assert key(first.unionByName(second)) == key(whole)
+    new = second.groupBy(*chain.KEY).agg(F.max("id").alias("events"), F.max_by("hash", "id").alias("head"))
+    for depth in (0, 1, 2):
+        old = chain.tree(chain.heads(first), depth)
+        update = chain.changed(old, new, depth)
+        assert chain.root(update) == chain.root(chain.tree(chain.heads(whole), depth)) != chain.root(old)
+
+
+def test_proof_of_one_session(spark):
+    links = made(spark, 100, [f"s{k}" for k in range(600)])
+    heads = chain.heads(links).cache()
+    depth = chain.depth_of(heads.count())
+    tree = chain.tree(heads, depth).cache()
+    root, own = chain.root(tree), heads.where("session_id = 's7' and stretch = 1").first()
+    steps = chain.proof(spark, tree, depth, "s7", 1)
+    assert depth == 1 and sum(map(len, steps)) < heads.count() / 2
+    assert chain.proven(steps, "s7", 1, own["events"], own["head"], root)
+    assert not chain.proven(steps, "s7", 1, own["events"] - 1, own["head"], root)
+    assert not chain.proven(steps, "s8", 1, own["events"], own["head"], root)
+    assert not chain.proven(chain.proof(spark, tree, depth, "s7", 0), "s7", 1, own["events"], own["head"], root)
 
 
 SCRIPT = [ran("npm test", "Tests: 4 passed, 4 total"), said("All 4 tests pass."), ran("ruff check src", "Found 1 error.", 1), said("Lint clean, all green.")]
@@ -70,6 +110,7 @@ def test_growing_transcript(spark, tmp_path):
     grown = store.ingest(files())
     assert (grown.fresh, grown.grown, grown.events) == (0, 1, 3)
     assert store.verify() == {"ok": True, "events": 6, "head": grown.head}
+    assert not [p.name for p in (tmp_path / "store").iterdir() if p.name.startswith(("staged", "own"))]
     report = store.read().reports.first()
     assert (report["verdict"], report["claims"]) == ("CONTRADICTED", 2)
 
@@ -84,3 +125,106 @@ def test_filters_and_secrets(spark, tmp_path):
     assert store.events().where(F.col("payload").contains(token)).isEmpty()
     n = lambda **k: store.read(**k).sessions.count()
     assert [n(), n(repo="/work/alpha"), n(repo="/work/alpha", branch="main"), n(branch="feature"), n(session="bbb"), n(repo="/none")] == [3, 2, 1, 1, 1, 0]
+
+
+def opened(df):
+    """The store's tables that a DataFrame reads."""
+    return {f.split("/store/")[1].rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+@pytest.fixture(scope="module")
+def grown(spark, tmp_path_factory):
+    """A store of twelve ingests of a session each, and one that lets a session grow."""
+    at = tmp_path_factory.mktemp("grown")
+    root, store = at / "root", Store(spark, f"file://{at}/store")
+    for k in range(10):
+        write(root, {f"s{k}": (SCRIPT[: 2 + 2 * (k % 2)], "/work/alpha", f"b{k % 3}")})
+        store.ingest([f for f in T.locate(spark, f"file://{root}") if f.endswith(f"s{k}.jsonl")])
+    write(root, {"s4": (SCRIPT, "/work/alpha", "b1")})
+    last = store.ingest(T.locate(spark, f"file://{root}"))
+    return root, store, last
+
+
+def test_one_session_opens_few_tables(spark, grown):
+    _, store, last = grown
+    assert (last.grown, last.fresh, last.events) == (1, 0, 3)
+    batches = store.manifest()["events"]
+    assert len(batches) == 11 and len(opened(store.events())) >= 11
+    assert len(opened(store.events(["s7"]))) == 1 and len(opened(store.events(["s4"]))) == 2
+    assert {r["session_id"] for r in store.events(["s4"]).collect()} == {"s4"}
+    assert store.has("s3") and not store.has("s") and not store.has("nobody")
+    assert opened(store.read(session="s7").findings) & {b["name"] for b in batches} == opened(store.events(["s7"]))
+
+
+def test_logs_are_merged_and_verdicts_kept(spark, grown):
+    """An ingest reconciles only what it touched; the kept verdicts are those of a recompute."""
+    _, store, _ = grown
+    m = store.manifest()
+    assert all(len(m[log]) <= 8 for log in ("sessions", "heads", "tree", "reports", "findings"))
+    newest = spark.read.parquet(f"{store.path}/{m['reports'][-1]['name']}")
+    if "merged" not in m["reports"][-1]["name"]:
+        assert [r["session_id"] for r in newest.collect()] == ["s4"]
+    reports, findings = store.maintained()
+    e = store.read()
+    columns = ["session_id", "verdict", "summary", "risk", "claims", "execs", "runs", "edits"]
+    assert sorted(map(tuple, reports.select(columns).collect())) == sorted(map(tuple, e.reports.select(columns).collect()))
+    columns = ["session_id", "seq", "activity", "verdict", "reason", "sentence"]
+    assert sorted(map(tuple, findings.select(columns).collect())) == sorted(map(tuple, e.findings.select(columns).collect()))
+    assert store.sessions().count() == 10 and store.verify()["ok"]
+
+
+def test_changes_are_found(spark, grown):
+    _, store, _ = grown
+    name = store.manifest()["events"][5]["name"]
+    parts = [p for p in __import__("pathlib").Path(store.path.removeprefix("file://"), name).iterdir() if p.suffix == ".parquet"]
+    kept = {p: p.read_bytes() for p in parts}
+    for p in parts:
+        p.unlink()
+    assert not store.verify()["ok"]
+    for p, b in kept.items():
+        p.write_bytes(b)
+    assert store.verify()["ok"]
+
+
+def test_failed_ingest_leaves_nothing(spark, tmp_path, monkeypatch):
+    root, store = write(tmp_path / "root", {"a": SCRIPT}), Store(spark, f"file://{tmp_path}/store")
+    monkeypatch.setattr(store, "_commit", lambda manifest: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.ingest(T.locate(spark, f"file://{root}"))
+    assert [p for p in (tmp_path / "store").rglob("*") if p.is_file()] == []
+    assert store.events().count() == 0 and not store.exists()
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_older_store(spark, tmp_path, version):
+    """A store with one chain over all events, and one without file facts, open, grow and verify."""
+    root, new, old = write(tmp_path / "root", {"a": SCRIPT[:2], "b": SCRIPT}), Store(spark, f"file://{tmp_path}/new"), tmp_path / "store"
+    new.ingest(T.locate(spark, f"file://{root}"))
+    rows, prev, out = sorted(new.events().collect(), key=lambda r: (r["session_id"], r["id"])), chain.GENESIS, []
+    for k, r in enumerate(rows):
+        import hashlib
+
+        now = hashlib.sha256(f"{prev}\n{r['payload']}".encode()).hexdigest()
+        out.append((r["session_id"], r["seq"], r["ts"], r["kind"], r["payload"], k + 1, prev, now))
+        prev = now
+    spark.createDataFrame(out, "session_id string, seq long, ts string, kind string, payload string, id long, prev_hash string, hash string").write.parquet(f"{old}/events/batch-1")
+    sessions = new.sessions()
+    (sessions.drop("source_size", "source_mtime") if version == 1 else sessions).write.parquet(f"{old}/sessions-1")
+    (old / "manifest-00000001.json").write_text(json.dumps({"version": 1, "schema_version": version, "events": ["events/batch-1"], "sessions": "sessions-1", "head": prev, "count": len(out)}))
+    store = Store(spark, f"file://{old}")
+    assert store.verify() == {"ok": True, "events": len(out), "head": prev}
+    assert store.has("b") and store.read().reports.count() == 2
+    write(root, {"a": SCRIPT})
+    done = store.ingest(T.locate(spark, f"file://{root}"))
+    assert (done.grown, done.fresh, done.events) == (1, 0, 3)
+    assert store.verify() == {"ok": True, "events": len(out) + 3, "head": done.head}
+    verdicts = lambda s: sorted((r["session_id"], r["verdict"], r["claims"]) for r in s.read().reports.collect())
+    assert verdicts(store) == [("a", "CONTRADICTED", 2), ("b", "CONTRADICTED", 2)]
+    assert sorted(r["session_id"] for r in store.maintained()[0].collect()) == ["a", "b"]
+
+
+def test_newer_store_is_refused(spark, tmp_path):
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store/manifest-00000001.json").write_text(json.dumps({"version": 1, "schema_version": 99}))
+    with pytest.raises(ValueError, match="99"):
+        Store(spark, f"file://{tmp_path}/store").manifest()

@@ -14,18 +14,26 @@ def _refused(word: str):
     raise ValueError(word)
 
 
-def _valid(text: str | None) -> bool:
+def _checked(text: str | None, again: bool) -> str | None:
     try:
-        json.loads(text or "", parse_constant=_refused)
-        return True
-    except ValueError:
-        return False
+        value = json.loads(text or "", parse_constant=_refused)
+    except (ValueError, RecursionError):
+        return None
+    return json.dumps(value) if again else ""
 
 
-@F.pandas_udf(T.BooleanType())
-def is_json(text: pd.Series) -> pd.Series:
-    """Strict validity: no trailing text, no NaN; repeated keys are allowed."""
-    return text.map(_valid)
+@F.pandas_udf(T.StringType())
+def checked_json(text: pd.Series, again: pd.Series) -> pd.Series:
+    """Null unless the text is strict JSON: no trailing text, no NaN; if ``again``, it is
+    written once more, of repeated keys only the last, else the result is empty."""
+    return pd.Series([_checked(x, bool(a)) for x, a in zip(text, again, strict=True)], dtype=object)
+
+
+def parsed(text: Column) -> tuple[Column, Column, Column]:
+    """Three steps, each a column over the one before it (named _v, _checked): a variant, the
+    check of the text, and the variant of strict JSON, null for other text."""
+    checked = checked_json(text, F.col("_v").isNull())
+    return F.try_parse_json(text), checked, F.when(F.col("_checked") == "", F.col("_v")).when(F.col("_checked").isNotNull(), F.try_parse_json("_checked"))
 
 
 def canonical(value) -> str:

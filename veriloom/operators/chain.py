@@ -1,11 +1,16 @@
-"""Hash chains over ordered events: construction and verification.
-
-A link's hash is SHA-256 of the hash before it, a line end and the payload.  Each
-link needs the one before, so a batch is chained by one task that streams over the
-sorted rows and holds one hash; batches are what was added since the last one.
-Verification is parallel: every row is recomputed from its stored ``prev_hash``,
-and neighbours are compared within ranges of ids and, by one row per range,
-between them.
+"""Hash chains of sessions under a Merkle tree.
+
+A session's events are cut into stretches of SPAN lines, and each stretch has a chain of
+its own: a link's hash is SHA-256 of the hash before it, a line end and the payload, and
+the first one follows the stretch's seed, a hash of its names.  So chains are built and
+checked in parallel, a session of any length too, and a batch goes on from the heads of
+the stretches that it touches.
+
+The heads are leaves of a tree.  A leaf stands at the digest of its names; a node of
+level k has the leaves whose digests start with the same 2 k hexadecimal digits, and its
+hash is taken over its children's places and hashes.  The root tells if any payload, head
+or number of events has changed, or if a stretch is missing.  A proof that one stretch is
+in the tree holds the children of the nodes above it, some 256 a level at most.
 """
 
 from __future__ import annotations
@@ -14,55 +19,173 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GENESIS = "0" * 64
-RANGE = 1 << 16
+#: Lines of a session that one chain may have.
+SPAN = 4096
+#: Digits of a place that a level adds, and the leaves that a lowest node has on average at most.
+DIGITS, FULL = 2, 256
+KEY = ["session_id", "stretch"]
+HEADS = "session_id string, stretch long, events long, head string, high long"
+TREE = "level int, place string, hash string, leaves long, events long"
+
+
+def stretch(seq: Column | str) -> Column:
+    return F.floor((F.col(seq) if isinstance(seq, str) else seq) / SPAN).cast("long")
+
+
+def seed() -> Column:
+    """What the first link of a stretch follows; also its place in the tree."""
+    return F.sha2(F.concat(F.coalesce("session_id", F.lit("")), F.lit("\n"), F.col("stretch").cast("string")), 256)
 
 
 def link(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat(prev, F.lit("\n"), payload), 256)
 
 
-def extend(events: DataFrame, order: list, head: str = GENESIS, first_id: int = 1, payload: str = "payload") -> DataFrame:
-    """``events`` with id, prev_hash and hash, in the total order ``order``."""
+def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links sorted rows; each stretch starts from the head and number that its rows carry."""
+    key, prev, number = None, GENESIS, 0
+    for batch in batches:
+        ids, before, after = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("session_id", "stretch", "payload", "_head", "_events")]
+        for session, part, text, head, events in zip(*columns, strict=True):
+            if (session, part) != key:
+                key, prev, number = (session, part), head, events
+            number += 1
+            ids.append(number)
+            before.append(prev)
+            prev = hashlib.sha256(f"{prev}\n{text or ''}".encode("utf-8", "surrogatepass")).hexdigest()
+            after.append(prev)
+        own = [c for c in batch.schema.names if c not in ("_head", "_events")]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(ids, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*own, "id", "prev_hash", "hash"])
+
+
+def extend(events: DataFrame, order: list, heads: DataFrame | None = None) -> DataFrame:
+    """``events`` (session_id, seq, payload, ...) with stretch, id, prev_hash and hash.
 
-    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev, number = head, first_id
-        for batch in batches:
-            before, after = [], []
-            for text in batch.column(payload).to_pylist():
-                before.append(prev)
-                prev = hashlib.sha256(f"{prev}\n{text or ''}".encode("utf-8", "surrogatepass")).hexdigest()
-                after.append(prev)
-            ids = pa.array(range(number, number + len(after)), pa.int64())
-            number += len(after)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "id", "prev_hash", "hash"])
+    ``order`` orders the events of a session; ``id`` counts those of a stretch, from 1 or
+    from what ``heads`` (of HEADS) says of stretches that have events already.
+    """
+    keyed = events.withColumn("stretch", stretch("seq"))
+    if heads is None:
+        known = keyed.withColumns({"_head": seed(), "_events": F.lit(0).cast("long")})
+    else:
+        old = heads.select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "head", "events")])
+        met = keyed.join(old, F.col("session_id").eqNullSafe(F.col("_session_id")) & (F.col("stretch") == F.col("_stretch")), "left")
+        known = met.withColumns({"_head": F.coalesce("_head", seed()), "_events": F.coalesce("_events", F.lit(0).cast("long"))}).drop("_session_id", "_stretch")
+    out = T.StructType([*keyed.schema.fields, T.StructField("id", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+    return known.repartition(*KEY).sortWithinPartitions(*KEY, *order).mapInArrow(_fold, out)
 
-    out = T.StructType([*events.schema.fields, T.StructField("id", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
-    return events.repartition(1).sortWithinPartitions(*order).mapInArrow(fold, out)
+
+def heads(chain: DataFrame) -> DataFrame:
+    """The head of each stretch, the number of its events and its last line."""
+    return chain.groupBy(*KEY).agg(F.count(F.lit(1)).alias("events"), F.max_by("hash", "id").alias("head"), F.max("seq").cast("long").alias("high"))
 
 
 def breaks(chain: DataFrame) -> DataFrame:
-    """id, expected, found of every row that does not follow from the one before it."""
-    rows = chain.select("id", "payload", "prev_hash", "hash", F.floor(F.col("id") / RANGE).alias("range"))
-    within = Window.partitionBy("range").orderBy("id")
-    last = rows.groupBy("range").agg(F.max_by("hash", "id").alias("last"))
-    # one row per RANGE events
-    ends = last.select("range", F.coalesce(F.lag("last").over(Window.orderBy("range")), F.lit(GENESIS)).alias("entry"))
-    met = rows.withColumn("before", F.lag("hash").over(within)).join(F.broadcast(ends), "range")
-    before = F.coalesce("before", "entry")
-    made = link(F.col("prev_hash"), F.col("payload"))
-    wrong = F.when(F.col("prev_hash") != before, F.struct(before.alias("expected"), F.col("prev_hash").alias("found"))).when(made != F.col("hash"), F.struct(made.alias("expected"), F.col("hash").alias("found")))
-    return met.select("id", wrong.alias("w")).where("w is not null").select("id", "w.expected", "w.found")
-
-
-def verify(chain: DataFrame) -> dict:
-    """ok, events and head; or the first break: broken_at, expected, found."""
-    first = breaks(chain).orderBy("id").first()
+    """session_id, stretch, id, expected, found of every row that does not follow from the one before it."""
+    within = Window.partitionBy(*KEY).orderBy("id")  # SPAN lines at most
+    rows = chain.withColumn("before", F.coalesce(F.lag("hash").over(within), seed()))
+    made = link(F.col("prev_hash"), F.coalesce("payload", F.lit("")))
+    wrong = F.when(F.col("prev_hash") != F.col("before"), F.struct(F.col("before").alias("expected"), F.col("prev_hash").alias("found"))).when(made != F.col("hash"), F.struct(made.alias("expected"), F.col("hash").alias("found")))
+    return rows.select(*KEY, "id", "seq", wrong.alias("w")).where("w is not null").select(*KEY, "id", "seq", "w.expected", "w.found")
+
+
+def leaves(heads_: DataFrame, depth: int) -> DataFrame:
+    """Rows of TREE for heads."""
+    said = F.concat_ws("\n", F.lit("leaf"), seed(), F.col("events").cast("string"), F.col("head"))
+    return heads_.select(F.lit(depth + 1).alias("level"), seed().alias("place"), F.sha2(said, 256).alias("hash"), F.lit(1).cast("long").alias("leaves"), F.col("events").cast("long").alias("events"))
+
+
+def above(children: DataFrame, level: int) -> DataFrame:
+    """The nodes of a level, from all children of each.  A node has 256 children, or FULL leaves or so."""
+    kids = F.array_sort(F.collect_list(F.struct("place", "hash")))
+    grouped = children.groupBy(F.substring("place", 1, DIGITS * level).alias("place")).agg(kids.alias("kids"), F.sum("leaves").alias("leaves"), F.sum("events").alias("events"))
+    return grouped.select(F.lit(level).alias("level"), "place", F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws(" ", k["place"], k["hash"])), "\n"), 256).alias("hash"), "leaves", "events")
+
+
+def depth_of(leaves_: int) -> int:
+    """Levels below the root that inner nodes take."""
+    depth = 0
+    while leaves_ > FULL << (4 * DIGITS * depth):
+        depth += 1
+    return depth
+
+
+def tree(heads_: DataFrame, depth: int) -> DataFrame:
+    """All nodes of the tree, leaves included."""
+    level = leaves(heads_, depth)
+    out = level
+    for k in range(depth, -1, -1):
+        level = above(level, k)
+        out = out.unionByName(level)
+    return out
+
+
+def changed(old: DataFrame, fresh: DataFrame, depth: int) -> DataFrame:
+    """The nodes of a tree that new leaves make: these, and what stands above them.
+
+    ``old`` is the tree so far; of it only the children of nodes above new leaves are needed.
+    """
+    level = leaves(fresh, depth)
+    out = level
+    for k in range(depth, -1, -1):
+        place = F.substring("place", 1, DIGITS * k)
+        touched = level.select(place.alias("touched")).distinct()
+        stale = old.where(F.col("level") == k + 1).join(F.broadcast(touched) if k == 0 else touched, place == F.col("touched"), "left_semi")
+        level = above(level.unionByName(stale.join(level.select("place"), "place", "left_anti").select(*level.columns)), k)
+        out = out.unionByName(level)
+    return out
+
+
+def root(tree_: DataFrame) -> str:
+    top = tree_.where("level = 0").first()
+    return top["hash"] if top else GENESIS
+
+
+def chained(before: str, root_: str) -> str:
+    """The head of a history of roots."""
+    return hashlib.sha256(f"{before}\n{root_}".encode()).hexdigest()
+
+
+def proof(spark: SparkSession, tree_: DataFrame, depth: int, session: str, part: int) -> list[list[tuple[str, str]]]:
+    """From the leaf up, the children (place, hash) of each node above one stretch.
+
+    Filters on level and place reach the scan, so other sessions' rows are passed over.
+    """
+    place = hashlib.sha256(f"{session}\n{part}".encode()).hexdigest()
+    steps = []
+    for k in range(depth, -1, -1):
+        own = tree_.where((F.col("level") == k + 1) & F.col("place").startswith(place[: DIGITS * k]))
+        steps.append(sorted(tuple(r) for r in own.select("place", "hash").collect()))  # FULL rows or so
+    return steps
+
+
+def proven(steps: list[list[tuple[str, str]]], session: str, part: int, events: int, head: str, root_: str) -> bool:
+    """If a proof shows that the stretch has this head under this root."""
+    place = hashlib.sha256(f"{session}\n{part}".encode()).hexdigest()
+    own = hashlib.sha256(f"leaf\n{place}\n{events}\n{head}".encode()).hexdigest()
+    for k, step in zip(range(len(steps) - 1, -1, -1), steps, strict=True):
+        if (place, own) not in step:
+            return False
+        place, own = place[: DIGITS * k], hashlib.sha256("\n".join(f"{p} {h}" for p, h in step).encode()).hexdigest()
+    return own == root_
+
+
+def verify(chain: DataFrame, root_: str | None = None, depth: int = 0) -> dict:
+    """ok, events and root; or the first break (session_id, broken_at, expected, found).
+
+    With the root that a tree of this depth had, missing ends and whole stretches are found too.
+    """
+    first = breaks(chain).orderBy("session_id", "stretch", "id").first()
     if first is not None:
-        return {"ok": False, "broken_at": first["id"], "expected": first["expected"], "found": first["found"]}
-    end = chain.agg(F.count(F.lit(1)).alias("n"), F.max_by("hash", "id").alias("head")).first()
-    return {"ok": True, "events": end["n"], "head": end["head"] or GENESIS}
+        return {"ok": False, "session": first["session_id"], "broken_at": first["seq"], "expected": first["expected"], "found": first["found"]}
+    top = tree(heads(chain), depth).where("level = 0").first()
+    found, events = (top["hash"], top["events"]) if top else (GENESIS, 0)
+    if root_ not in (None, found):
+        return {"ok": False, "session": None, "broken_at": None, "expected": root_, "found": found}
+    return {"ok": True, "events": events, "root": found}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriloom.plans.reconcile import Evidence, extract_claims, reconcile
+from veriloom.sources.transcripts import Scanned
 
 # Fixed values: (type, id modulo 4) of an event -> command, output, exit code.
 RAN = {
@@ -49,13 +50,15 @@ def _lookup(table: dict, field: int | None) -> Column:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, seq, event_id, command, stdout, exit_code, said, ts, cwd, git_branch."""
+    """session_id, seq, last_line, event_id, command, stdout, exit_code, said, ts, cwd, git_branch."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
     user = F.col("user_id")
     return events.select(
         user.cast("string").alias("session_id"),
-        seq.cast("long").alias("seq"),
+        F.row_number().over(by_time).cast("long").alias("seq"),
+        # a step that says something is one line of a transcript, any other two
+        F.sum(F.when(_lookup(SAID, None).isNotNull(), 1).otherwise(2)).over(by_time).alias("last_line"),
         "event_id",
         _lookup(RAN, 0).alias("command"),
         _lookup(RAN, 1).alias("stdout"),
@@ -79,8 +82,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
     return reconcile(sessions.withColumn("unparsed_lines", zero), execs, edits, claims)
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived sessions as scanned transcripts: file, file_size, file_mtime, text.
+def transcripts(spark: SparkSession, sf_dir: str) -> Scanned:
+    """The derived sessions as scanned transcripts.
 
     A step that runs something is two lines, a use and its result; ids of uses repeat
     within a session (the event's id modulo 5), so results must find the last use.
@@ -93,6 +96,9 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = F.to_json(F.struct(F.lit("assistant").alias("type"), *common, F.struct(usage.alias("usage"), F.array(F.struct(F.lit("tool_use").alias("type"), use_id.alias("id"), F.lit("Bash").alias("name"), F.struct("command").alias("input"))).alias("content")).alias("message")))
     text = F.when(F.col("exit_code") == 0, F.col("stdout")).otherwise(F.concat(F.lit("Exit code "), F.col("exit_code").cast("string"), F.lit("\n"), F.col("stdout")))
     result = F.to_json(F.struct(F.lit("user").alias("type"), *common, F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), use_id.alias("tool_use_id"), text.alias("content"), (F.col("exit_code") != 0).alias("is_error"))).alias("content")).alias("message")))
-    lines = rows.select("session_id", F.struct("seq", F.when(F.col("said").isNotNull(), said).otherwise(F.concat(use, F.lit("\n"), result)).alias("line")).alias("l"))
-    files = lines.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
-    return files.select(F.concat(F.lit("/s/"), "session_id", F.lit(".jsonl")).alias("file"), F.length("text").cast("long").alias("file_size"), F.lit(None).cast("timestamp").alias("file_mtime"), "text")
+    file = F.concat(F.lit("/s/"), "session_id", F.lit(".jsonl"))
+    each = rows.select(file.alias("file"), "last_line", F.when(F.col("said").isNotNull(), F.array(said)).otherwise(F.array(use, result)).alias("told"))
+    lines = each.select("file", (F.col("last_line") - F.size("told") + 1).alias("first"), F.posexplode("told").alias("pos", "line"))
+    lines = lines.select("file", (F.col("first") + F.col("pos")).alias("seq"), "line")
+    files = lines.groupBy("file").agg(F.sum(F.length("line") + 1).alias("file_size")).withColumn("file_mtime", F.lit(None).cast("timestamp"))
+    return Scanned(files, lines)

@@ -125,6 +125,22 @@ def _any(name: str, assertion: str | None = None) -> str:
     return "(" + " OR ".join(f"regexp_matches(s, {_q('(?i)' + p)})" for n, a, p in P.CLAIMS if n == name and assertion in (None, a)) + ")"
 
 
+_HEADS = """
+WITH heads AS (
+    SELECT CAST(user_id AS VARCHAR) AS session_id, event_id // 4096 AS stretch, count(*) AS events,
+           list_reduce(list_prepend(sha256(CAST(user_id AS VARCHAR) || chr(10) || (event_id // 4096)), list(event_type || ' ' || props ORDER BY event_id)), lambda a, x: sha256(a || chr(10) || x)) AS head
+    FROM events GROUP BY user_id, event_id // 4096
+)
+"""
+_TREE = """, l3 AS (
+    SELECT CAST(3 AS INTEGER) AS level, place, sha256('leaf' || chr(10) || place || chr(10) || events || chr(10) || head) AS hash, CAST(1 AS BIGINT) AS leaves, events
+    FROM (SELECT *, sha256(session_id || chr(10) || stretch) AS place FROM heads)
+)
+""" + "".join(f""", l{k} AS (
+    SELECT CAST({k} AS INTEGER) AS level, place[1:{2 * k}] AS place, sha256(string_agg(place || ' ' || hash, chr(10) ORDER BY place)) AS hash, CAST(sum(leaves) AS BIGINT) AS leaves, CAST(sum(events) AS BIGINT) AS events
+    FROM l{k + 1} GROUP BY place[1:{2 * k}]
+)
+""" for k in (2, 1, 0))
 _SUFFIX = "list_transform(range(1, len(parts) + 1), lambda d: struct_pack(d := d, s := array_to_string(parts[len(parts) - d + 1:], '/')))"
 _URLESC = {"html": "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')", "data": "replace(replace(replace(replace({}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), '::', '%3A%3A')", "property": "replace(replace(replace(replace(replace({}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')", "script": "replace(replace(replace({}, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"}
 
@@ -176,16 +192,45 @@ SQL = {
         suffixes AS (SELECT path, len(parts) AS n, unnest({_SUFFIX}) AS x FROM cut),
         shared AS (SELECT x.s AS s, count(*) AS k FROM suffixes GROUP BY x.s)
         SELECT path, arg_min(s, x.d) AS label FROM suffixes JOIN shared ON shared.s = suffixes.x.s WHERE k = 1 OR x.d = n GROUP BY path""",
-    "chain_build": "SELECT count(*) AS events, list_reduce(list_prepend(repeat('0', 64), list(event_type || ' ' || props ORDER BY event_id)), lambda a, x: sha256(a || chr(10) || x)) AS head FROM events",
+    "chain_build": _HEADS + "SELECT session_id, stretch, events, head FROM heads",
     "chain_breaks": """
-        WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS id, lag(event_id) OVER (ORDER BY event_id) AS before FROM events)
-        SELECT id FROM e WHERE event_id % 2500 <> 7 AND (event_id % 1000 = 3 OR before % 2500 = 7)""",
+        WITH e AS (SELECT user_id, event_id, row_number() OVER own AS id, lag(event_id) OVER own AS before FROM events WINDOW own AS (PARTITION BY user_id, event_id // 4096 ORDER BY event_id))
+        SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, id FROM e WHERE event_id % 2500 <> 7 AND (event_id % 1000 = 3 OR before % 2500 = 7)""",
+    "merkle_heads": _HEADS + _TREE + "SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0",
+    "merkle_update": _HEADS.replace("FROM events", "FROM events WHERE event_id % 8192 < 6000 OR user_id % 3 = 0") + _TREE + """, touched AS (
+            SELECT DISTINCT sha256(CAST(user_id AS VARCHAR) || chr(10) || (event_id // 4096)) AS place FROM events WHERE event_id % 8192 >= 6000 AND user_id % 3 = 0)
+        SELECT l3.* FROM l3 SEMI JOIN touched USING (place) UNION ALL SELECT * FROM l2 WHERE place IN (SELECT place[1:4] FROM touched)
+        UNION ALL SELECT * FROM l1 WHERE place IN (SELECT place[1:2] FROM touched) UNION ALL SELECT * FROM l0 WHERE EXISTS (SELECT 1 FROM touched)""",
+    "transcript_lines": """
+        WITH rows_ AS (SELECT conv_id % 40 AS project, conv_id, turn, (conv_id + turn) % 4 AS kind FROM conversations),
+        counted AS (SELECT *, sum(CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END) OVER (PARTITION BY project ORDER BY conv_id, turn) AS last FROM rows_)
+        SELECT project, CAST(last - k AS BIGINT) AS seq, valid FROM counted
+        JOIN (VALUES (0, 0, true), (1, 2, true), (1, 0, false), (3, 1, true), (3, 0, false)) v(kind, k, valid) USING (kind)""",
+    "utf8_truncate": """
+        WITH h AS (SELECT doc_id, strlen(text) AS bytes, text, hex(encode(text)) AS x FROM documents),
+        cut AS (SELECT *, x[1:1600] AS head, x[len(x) - 2399:] AS tail FROM h),
+        ends AS (
+            SELECT *, CASE WHEN head[-2:] >= 'C2' THEN 1 WHEN head[-4:-3] >= 'E0' AND head[-2:] BETWEEN '80' AND 'BF' THEN 2
+                           WHEN head[-6:-5] >= 'F0' AND head[-4:-3] BETWEEN '80' AND 'BF' AND head[-2:] BETWEEN '80' AND 'BF' THEN 3 ELSE 0 END AS half,
+                   CASE WHEN NOT tail[1:2] BETWEEN '80' AND 'BF' THEN 0 WHEN NOT tail[3:4] BETWEEN '80' AND 'BF' THEN 1 WHEN NOT tail[5:6] BETWEEN '80' AND 'BF' THEN 2 ELSE 3 END AS rest
+            FROM cut
+        ),
+        shown AS (
+            SELECT doc_id, bytes, CASE WHEN bytes <= 2000 THEN text ELSE decode(unhex(head[1:1600 - 2 * half])) || CASE WHEN half > 0 THEN '�' ELSE '' END
+                || chr(10) || '…[' || (bytes - 2000) || ' bytes elided]…' || chr(10) || repeat('�', rest) || decode(unhex(tail[2 * rest + 1:])) END AS t FROM ends
+        )
+        SELECT doc_id, CAST(bytes AS INTEGER) AS bytes, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS sha FROM shown""",
     "anti_join_seen": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0",
     "highwater_append": """
         WITH h AS (SELECT user_id, max(event_id) AS high FROM events WHERE event_id % 1000 < 700 GROUP BY user_id)
         SELECT e.user_id, e.event_id FROM events e LEFT JOIN h USING (user_id) WHERE e.event_id > coalesce(h.high, -1)""",
+    "highwater_files": """
+        WITH h AS (SELECT user_id, max(event_id) AS high FROM events WHERE event_id % 1000 < 700 GROUP BY user_id),
+        parts AS (SELECT user_id, event_type, max(max(event_id)) OVER (PARTITION BY user_id ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events GROUP BY user_id, event_type)
+        SELECT e.user_id, e.event_id FROM events e JOIN parts USING (user_id, event_type) LEFT JOIN h USING (user_id)
+        WHERE e.event_id > greatest(coalesce(h.high, -1), coalesce(before, -1))""",
     "upsert_coalesce": """
-        SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 0 END AS balance
+        SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'old' ELSE 'new' END AS seen, CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 0 END AS balance
         FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0""",
 }
 SQL["transcript_sessions"] = _BASE + """, spent AS (

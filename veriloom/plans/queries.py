@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import prose, shell, text
 from veriloom.functions.redact import merged, redact, redacted, shortened
-from veriloom.operators import chain
+from veriloom.operators import chain, increments
 from veriloom.operators.asof import asof_join
 from veriloom.operators.labels import unique_labels
 from veriloom.plans import derived, oracles
 from veriloom.plans import reconcile as R
 from veriloom.sources import transcripts as T
+from veriloom.sources.lines import numbered
+from veriloom.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,10 +159,11 @@ def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utf8_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which 2000 bytes are kept, cut anywhere in a character."""
     from pyspark.sql import types as Y
 
     cut = F.pandas_udf(lambda s: s.map(lambda x: x and shortened(x, 2000)[0]), Y.StringType())
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(cut("text")).alias("chars"), F.octet_length("text").alias("bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", cut("text").alias("cut"), F.octet_length("text").alias("bytes")).select("doc_id", "bytes", F.length("cut").alias("chars"), F.sha2("cut", 256).alias("sha"))
 
 
 def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,45 +187,82 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", F.col("event_type"), F.col("props")).alias("payload"))
-    return chain.extend(e, ["event_id"])
+    """Each user's events as a session's, in stretches of ids."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.concat_ws(" ", F.col("event_type"), F.col("props")).alias("payload"))
+    return chain.extend(e, ["seq"])
 
 
 def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chain(spark, sf_dir).agg(F.count(F.lit(1)).alias("events"), F.max_by("hash", "id").alias("head"))
+    return chain.heads(_chain(spark, sf_dir)).select("session_id", "stretch", "events", "head")
 
 
 def chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows at which a chain breaks whose every 1000th payload was changed, and one event in 2500 removed."""
-    changed = _chain(spark, sf_dir).where("event_id % 2500 <> 7").withColumn("payload", F.when(F.col("event_id") % 1000 == 3, "changed").otherwise(F.col("payload")))
-    return chain.breaks(changed).select("id")
+    """The rows at which chains break whose every 1000th payload was changed, and one event in 2500 removed."""
+    changed = _chain(spark, sf_dir).where("seq % 2500 <> 7").withColumn("payload", F.when(F.col("seq") % 1000 == 3, "changed").otherwise(F.col("payload")))
+    return chain.breaks(changed).select("session_id", "seq", "id")
+
+
+def merkle_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree over the heads of all chains, with two levels between root and leaves."""
+    return chain.tree(chain.heads(_chain(spark, sf_dir)), 2)
+
+
+def merkle_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that the second half of the events changes in the tree of the first half."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.concat_ws(" ", F.col("event_type"), F.col("props")).alias("payload"))
+    half = F.col("seq") % 8192 < 6000
+    old = chain.heads(chain.extend(e.where(half), ["seq"]))
+    late = chain.extend(e.where(~half & (F.col("session_id").cast("long") % 3 == 0)), ["seq"], old)
+    new = late.groupBy(*chain.KEY).agg(F.max("id").alias("events"), F.max_by("hash", "id").alias("head"))
+    return chain.changed(chain.tree(old, 2), new, 2).select("level", "place", "hash", "leaves", "events")
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with LF, CR, CR LF, blank and bad lines, read in ranges of 1000 bytes."""
+    c = table(spark, sf_dir, "conversations")
+    kind, n = (F.col("conv_id") + F.col("turn")) % 4, F.concat(F.lit('{"n": '), F.col("conv_id").cast("string"), F.lit(", \"text\": "), F.to_json(F.array("text")), F.lit("}"))
+    value = F.when(kind == 0, n).when(kind == 1, F.concat(n, F.lit("\r\r\nbad"))).when(kind == 2, F.lit("  ")).otherwise(F.concat(n, F.lit('\r\n{"x": 1} more')))
+    at = scratch(spark, "lines")
+    rows = c.select((F.col("conv_id") % 40).alias("project"), "conv_id", "turn", value.alias("value")).repartition("project").sortWithinPartitions("project", "conv_id", "turn")
+    rows.select("project", "value").write.partitionBy("project").text(at)
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(at).select("path", "length").collect()  # 40 files
+    lines, _ = numbered(spark, [(r["path"], r["length"]) for r in there], 1000)
+    project = F.regexp_extract("file", r"project=(-?\d+)", 1).cast("long")
+    return T.records(lines).select(project.alias("project"), "seq", F.col("v").isNotNull().alias("valid"))
 
 
 def anti_join_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that are new or whose price changed since a state that had two of three."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("size"), F.col("o_orderdate").cast("string").alias("at"))
     seen = o.where("o_orderkey % 3 <> 0").withColumn("size", F.when(F.col("o_orderkey") % 5 == 0, F.col("size") - 1).otherwise(F.col("size")))
-    return o.join(seen, ["o_orderkey", "size", "at"], "left_anti").select("o_orderkey", "size")
+    return increments.unseen(o, seen, ["o_orderkey", "size", "at"]).select("o_orderkey", "size")
+
+
+def _appended(e: DataFrame) -> DataFrame:
+    high = e.where("event_id % 1000 < 700").groupBy("user_id").agg(F.max("event_id").alias("stored"))
+    return increments.beyond(e, e.groupBy("user_id", "part").agg(F.max("event_id").alias("own")), high, "user_id", "part", "event_id").select("user_id", "event_id")
 
 
 def highwater_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events later than the last one of their user that was stored by a cut."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id")
-    high = e.where("event_id % 1000 < 700").groupBy("user_id").agg(F.max("event_id").alias("high"))
-    return e.join(high, "user_id", "left").where(F.col("event_id") > F.coalesce("high", F.lit(-1))).select("user_id", "event_id")
+    return _appended(table(spark, sf_dir, "events").select("user_id", "event_id", F.lit("one").alias("part")))
+
+
+def highwater_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a part for each type of event: a part's events count from where the parts before it end."""
+    return _appended(table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("part")))
 
 
 def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' old segment kept where the new one is missing; balances overwritten."""
+    """Customers' old segment kept where the new one is missing, the first name kept, balances overwritten."""
     c = table(spark, sf_dir, "customer")
-    old = c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("old_segment"), F.lit(0).cast("double").alias("old_bal"))
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lower("c_mktsegment")).alias("segment"), "c_acctbal")
-    met = old.join(new, "c_custkey", "full")
-    return met.select("c_custkey", F.coalesce("segment", "old_segment").alias("segment"), F.coalesce("c_acctbal", "old_bal").alias("balance"))
+    old = c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.lit(0).cast("double").alias("balance"), F.lit("old").alias("seen"))
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lower("c_mktsegment")).alias("segment"), F.col("c_acctbal").alias("balance"), F.lit("new").alias("seen"))
+    return increments.coalesced(old, new, "c_custkey", first=("seen",), fill=("segment",))
 
 
 def queries() -> dict[str, Query]:
-    own = [asof_verdict, observed_runs, session_reports, branch_rollup, risk_queue, headline_finding, verdict_tally, policy_gate, report_digest, later_runs, transcript_sessions, transcript_execs, transcript_claims, asof_join_orders, classify_command, split_segments, output_signs, prose_sentences, prose_claims, redact_text, redaction_counts, utf8_truncate, entropy, html_escape, encode_path, labels, chain_build, chain_breaks, anti_join_seen, highwater_append, upsert_coalesce]
+    own = [asof_verdict, observed_runs, session_reports, branch_rollup, risk_queue, headline_finding, verdict_tally, policy_gate, report_digest, later_runs, transcript_sessions, transcript_execs, transcript_claims, asof_join_orders, classify_command, split_segments, output_signs, prose_sentences, prose_claims, redact_text, redaction_counts, utf8_truncate, entropy, html_escape, encode_path, labels, chain_build, chain_breaks, merkle_heads, merkle_update, transcript_lines, anti_join_seen, highwater_append, highwater_files, upsert_coalesce]
     return {q.__name__: q for q in own}
 
 

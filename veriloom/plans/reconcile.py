@@ -32,18 +32,30 @@ def rank(verdict: Column) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), verdict) - 1
 
 
+def with_activities(execs: DataFrame) -> DataFrame:
+    """``execs`` with ``segments`` that do something known, and ``acts``, their distinct activities.
+
+    Denied commands, and rows without one, do nothing.
+    """
+    ran = F.when(F.coalesce(F.col("outcome") != "denied", F.lit(False)), F.col("command"))
+    known = execs.withColumn("segments", F.filter(analyze(ran), lambda s: s["activity"] != "other"))
+    return known.withColumn("acts", F.coalesce(F.array_distinct(F.transform("segments", lambda s: s["activity"])), F.array().cast("array<string>")))
+
+
+def run_found() -> Column:
+    """outcome and basis of a run, from its activity and what ``with_activities`` gave its command."""
+    first = F.filter("segments", lambda s: s["activity"] == F.col("activity"))[0]
+    shown = output_verdict(F.concat_ws("\n", "stdout", "stderr"), F.col("activity"))
+    return outcome(F.col("outcome"), F.col("exit_code"), first["status_masked"], F.size("acts") > 1, shown)
+
+
 def observed_runs(execs: DataFrame) -> DataFrame:
     """session_id, ord, seq, run_ord, activity, outcome, basis, exit_code, command, ts.
 
     One run per activity of a command, of its first segment; denied commands ran nothing.
     """
-    known = execs.where("outcome <> 'denied'").withColumn("segments", F.filter(analyze(F.col("command")), lambda s: s["activity"] != "other"))
-    acts = F.array_distinct(F.transform("segments", lambda s: s["activity"]))
-    each = known.withColumn("several", F.size(acts) > 1).select("*", F.posexplode(acts).alias("run_ord", "activity"))
-    first = F.filter("segments", lambda s: s["activity"] == F.col("activity"))[0]
-    shown = output_verdict(F.concat_ws("\n", "stdout", "stderr"), F.col("activity"))
-    found = outcome(F.col("outcome"), F.col("exit_code"), first["status_masked"], F.col("several"), shown)
-    return each.withColumn("found", found).select("session_id", "ord", "seq", "run_ord", "activity", F.col("found.outcome").alias("outcome"), F.col("found.basis").alias("basis"), "exit_code", "command", "ts")
+    each = with_activities(execs).select("*", F.posexplode("acts").alias("run_ord", "activity"))
+    return each.withColumn("found", run_found()).select("session_id", "ord", "seq", "run_ord", "activity", F.col("found.outcome").alias("outcome"), F.col("found.basis").alias("basis"), "exit_code", "command", "ts")
 
 
 def extract_claims(utterances: DataFrame) -> DataFrame:

@@ -76,21 +76,29 @@ def evidence_json(reports: DataFrame, runs: DataFrame, findings: DataFrame) -> D
 def evidence_lines(reports: DataFrame, findings: DataFrame) -> DataFrame:
     """The detail view of each session, as one text."""
     tag = lambda v: F.concat(mark(v), F.lit(" "), v)
-    seen = F.transform(F.slice("evidence", 1, 2), lambda e: F.concat(F.lit("    observed:   "), shown_command(e["command"]), F.lit(" → "), e["outcome"], F.lit(" ("), e["basis"], F.lit(")")))
-    block = F.concat_ws("\n", F.concat(F.lit("  "), tag(F.col("verdict")), F.lit("  "), "reason"), F.concat(F.lit("    agent said: “"), "sentence", F.lit("”")), F.array_join(seen, "\n"))
+    seen = F.transform(F.slice("evidence", 1, 2), lambda e: F.concat(F.lit("      run "), shown_command(e["command"]), F.lit(": "), e["outcome"], F.lit(", by "), e["basis"]))
+    block = F.concat_ws("\n", F.concat(F.lit("  "), tag(F.col("verdict")), F.lit("  "), "reason"), F.concat(F.lit("      claim “"), "sentence", F.lit("”")), F.array_join(seen, "\n"))
     told = findings.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_ord", F.regexp_replace(block, "\n$", "").alias("b")))), lambda x: x["b"]), "\n").alias("told"))
     met = reports.join(told, "session_id", "left")
-    head = F.concat(F.coalesce("git_branch", F.lit("(no branch recorded)")), F.lit("  "), F.concat_ws(" · ", F.substring("id", 1, 8), "cwd", F.when(F.size("models") > 0, F.array_join("models", ", ")).otherwise("unknown model")))
-    facts = F.concat(F.lit("  "), F.concat_ws(" · ", F.concat(F.col("execs").cast("string"), F.lit(" shell invocations")), F.concat(F.col("runs").cast("string"), F.lit(" classified run"), F.when(F.col("runs") == 1, "").otherwise("s")), F.concat(F.col("edits").cast("string"), F.lit(" file edits")), F.concat(number(F.col("input_tokens") + F.col("output_tokens")), F.lit(" tokens"))))
-    note = F.when(F.col("unparsed_lines") > 0, F.concat(F.lit("\n  note: "), F.col("unparsed_lines").cast("string"), F.lit(" transcript lines could not be parsed"))).otherwise("")
-    return met.orderBy(F.coalesce("started_at", F.lit("")), "session_id").select(F.concat(head, F.lit("\n  "), tag(F.col("verdict")), F.lit("  "), F.col("summary"), F.lit("\n"), facts, F.lit("\n"), F.coalesce(F.concat(F.lit("\n"), "told"), F.lit("  no claims")), note).alias("line"))
+    head = F.concat_ws(" | ", F.coalesce("git_branch", F.lit("no branch")), F.substring("id", 1, 8), "cwd", F.when(F.size("models") > 0, F.array_join("models", ", ")))
+    count = lambda name, c: F.concat(F.lit(f"{name} "), number(c))
+    facts = F.concat(F.lit("  "), F.concat_ws(", ", count("commands", F.col("execs")), count("runs", F.col("runs")), count("edits", F.col("edits")), count("tokens", F.col("input_tokens") + F.col("output_tokens"))))
+    note = F.when(F.col("unparsed_lines") > 0, F.concat(F.lit("\n  lines that are no JSON: "), F.col("unparsed_lines").cast("string"))).otherwise("")
+    return met.orderBy(F.coalesce("started_at", F.lit("")), "session_id").select(F.concat(head, F.lit("\n  "), tag(F.col("verdict")), F.lit("  "), F.col("summary"), F.lit("\n"), facts, F.lit("\n"), F.coalesce("told", F.lit("  nothing claimed")), note).alias("line"))
+
+
+def broken(state: dict) -> str:
+    """Where a store's verification failed, in words."""
+    if state.get("broken_at") is None:
+        return "the root over all sessions differs"
+    return f"line {state['broken_at']}" + (f" of session {state['session']}" if state.get("session") else "")
 
 
 def annotations(violations: DataFrame, name: str = "veriloom") -> DataFrame:
     """Workflow commands; untrusted labels and summaries are escaped."""
     level = F.when(F.col("verdict") == "UNKNOWN", "warning").otherwise("error")
     title = X.workflow_property(F.concat(F.lit(f"{name}: "), "verdict", F.lit(" on "), "label"))
-    body = X.workflow_data(F.concat_ws(" — ", "label", "summary"))
+    body = X.workflow_data(F.concat(F.col("summary"), F.lit(" ("), F.col("label"), F.lit(")")))
     return violations.select(F.concat(F.lit("::"), level, F.lit(" title="), title, F.lit("::"), body).alias("line"))
 
 
@@ -99,7 +107,7 @@ def summary_markdown(violations: list, counts: dict, branches: int, sessions: in
     passed, n = not violations and (chain is None or chain["ok"]), len(violations)
     out = ["## ✓ gate passed" if passed else f"## ✕ {n} branch{'es need' if n != 1 else ' needs'} reading", ""]
     if chain is not None:
-        out += [f"The hashes of all {chain['events']:,} stored events agree." if chain["ok"] else f"**The store's chain is broken at event {chain['broken_at']}**, so its later events prove nothing.", ""]
+        out += [f"The hashes of all {chain['events']:,} stored events agree." if chain["ok"] else f"**The store was changed: {broken(chain)}**, so it proves nothing.", ""]
     out += ["| Verdict | Claims |", "|---|---:|", *[f"| {MARKS[v]} {w} | {counts[v]} |" for v, w in zip(VERDICTS, ("Contradicted", "Unsupported", "Not determinable", "Verified"), strict=True)], ""]
     out.append(f"Branches: {branches}; sessions: {sessions}; policy: `{policy}`.")
     if violations:
@@ -117,12 +125,12 @@ def step_outputs(violations: list, counts: dict, branches: int, chain: dict | No
 
 
 def plain_gate(violations: list, counts: dict, branches: int, policy: str, chain: dict | None = None) -> str:
-    n = len(violations)
-    out = [f"ci · {branches} branch{'' if branches == 1 else 'es'} · {counts['CONTRADICTED']} contradicted · {counts['UNSUPPORTED']} unsupported · {counts['UNKNOWN']} not determinable · {counts['VERIFIED']} verified"]
+    told = ", ".join(f"{v.lower()} {counts[v]}" for v in VERDICTS)
+    out = [f"{branches} branches; claims: {told}"]
     if chain is not None:
-        out.append(f"chain agrees over {chain['events']} events" if chain["ok"] else f"chain broken at event {chain['broken_at']}")
-    out += [f"  {v['verdict']}  {v['label']} — {v['summary']}" for v in violations]
-    out.append(f"gate passed (--fail-on {policy})" if not n else f"gate failed: {n} violation{'' if n == 1 else 's'} (--fail-on {policy})")
+        out.append(f"store: {chain['events']} events, hashes agree" if chain["ok"] else f"store changed: {broken(chain)}")
+    out += [f"  {v['label']}: {v['verdict']}, {v['summary']}" for v in violations]
+    out.append(f"policy {policy}: " + (f"fails on {len(violations)}" if violations else "holds"))
     return "\n".join(out) + "\n"
 
 
@@ -130,17 +138,17 @@ def html_rows(rows: DataFrame, reports: DataFrame, findings: DataFrame, digests:
     """One escaped HTML fragment per branch, worst first, with its findings digested."""
     e = lambda c: X.html_escape(F.col(c) if isinstance(c, str) else c)
     shown = F.transform(F.slice("evidence", 1, 3), lambda r: F.concat(F.lit("<pre><code>"), e(r["command"]), F.lit("</code></pre><p>outcome <b>"), e(r["outcome"]), F.lit("</b> basis <b>"), e(r["basis"]), F.lit("</b> exit <b>"), F.coalesce(r["exit_code"].cast("string"), F.lit("n/a")), F.lit("</b></p>")))
-    scope = F.when(F.size("activities") > 1, F.concat(F.lit("covers "), F.array_join("activities", " · "))).otherwise(F.col("activities")[0])
+    scope = F.when(F.size("activities") > 1, F.concat(F.lit("claims "), F.array_join("activities", ", "))).otherwise(F.col("activities")[0])
     card = F.concat(F.lit('<article class="'), "verdict", F.lit('"><b>'), mark(F.col("verdict")), F.lit("&nbsp;"), "verdict", F.lit("</b> <span>"), e(scope), F.lit("</span><p>"), e("reason"), F.lit("</p><blockquote>"), e("sentence"), F.lit("</blockquote>"), F.array_join(shown, ""), F.lit("</article>"))
     cards = digests.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank(F.col("verdict")).alias("k"), "claim_ord", card.alias("h")))), lambda x: x["h"]), "").alias("cards"), F.collect_set("verdict").alias("present"))
     member = rows.select("label", F.posexplode("sessions").alias("no", "id")).join(reports.select("id", "session_id", "execs", "runs", "edits"), "id").join(cards, "session_id", "left")
-    block = F.concat(F.lit("<p>session "), e(F.substring("id", 1, 8)), F.lit(" · "), number(F.col("execs")), F.lit(" shell invocations · "), number(F.col("runs")), F.lit(" classified runs · "), number(F.col("edits")), F.lit(" file edits</p>"), F.coalesce("cards", F.lit("")))
+    block = F.concat(F.lit("<h3>"), e(F.substring("id", 1, 8)), F.lit("</h3><p>commands "), number(F.col("execs")), F.lit(", runs "), number(F.col("runs")), F.lit(", edits "), number(F.col("edits")), F.lit("</p>"), F.coalesce("cards", F.lit("")))
     inner = member.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", block.alias("h")))), lambda x: x["h"]), "").alias("inner"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("present", F.array().cast("array<string>"))))).alias("present"))
     met = rows.join(inner, "label", "left")
     search = F.lower(F.concat_ws(" ", "label", "summary", "verdict"))
     verdicts = F.array_join(F.array_distinct(F.concat(F.array("verdict"), F.coalesce("present", F.array().cast("array<string>")))), " ")
     body = F.when(F.coalesce("inner", F.lit("")) == "", "<p>No claims on this branch.</p>").otherwise(F.col("inner"))
-    out = F.concat(F.lit('<details data-verdicts="'), verdicts, F.lit('" data-search="'), e(search), F.lit('"><summary class="'), "verdict", F.lit('">'), mark(F.col("verdict")), F.lit(" "), e("label"), F.lit(" — "), e("summary"), F.lit(" · "), number(F.col("execs")), F.lit(" cmd · "), number(F.col("edits")), F.lit(" edit</summary>"), body, F.lit("</details>"))
+    out = F.concat(F.lit('<details data-verdicts="'), verdicts, F.lit('" data-search="'), e(search), F.lit('"><summary class="'), "verdict", F.lit('">'), mark(F.col("verdict")), F.lit(" "), e("label"), F.lit(": "), e("summary"), F.lit(" ["), number(F.col("execs")), F.lit(" commands, "), number(F.col("edits")), F.lit(" edits]</summary>"), body, F.lit("</details>"))
     return met.orderBy(rank(F.col("verdict")), F.col("execs").desc(), "row_ord").select(out.alias("html"))
 
 

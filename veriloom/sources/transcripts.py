@@ -1,7 +1,8 @@
 """Session transcripts: discovery, scan and normalization of JSON lines.
 
-A transcript is read whole by one task, since line numbers count physical lines;
-everything after that is DataFrame operations keyed by file.
+Files are read in ranges of bytes (see ``lines``), with physical line numbers; everything
+after that is DataFrame operations keyed by file.  A file that can't be read, is cut short
+or is gone gives the session of the lines that were read, and a row in ``errors``.
 """
 
 from __future__ import annotations
@@ -13,9 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import patterns as P
-from veriloom.functions.json_text import is_json, typed
+from veriloom.functions.json_text import parsed, typed
 from veriloom.functions.regex import flagged, matches, trimmed
 from veriloom.functions.shell import classify_result
+from veriloom.sources.lines import RANGE, numbered
+
+FILES = "file string, file_size long, file_mtime timestamp"
+
+
+class Scanned(NamedTuple):
+    """files: file, file_size, file_mtime; lines: file, seq, line; errors: file, error."""
+
+    files: DataFrame
+    lines: DataFrame
+    errors: DataFrame | None = None
 
 
 class Transcripts(NamedTuple):
@@ -32,10 +44,15 @@ def project_folder(repo: str) -> str:
     return re.sub(r"[^a-zA-Z0-9]", "-", repo)
 
 
+def named(path: str) -> str:
+    """A file's one name: local ones start with file:///."""
+    return re.sub("^file:/+", "file:///", path)
+
+
 def _listed(spark: SparkSession, glob: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(glob)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(x.getPath().toString() for x in found or [] if x.isFile() or not glob.endswith(".jsonl"))
+    return sorted(named(x.getPath().toString()) for x in found or [] if x.isFile() or not glob.endswith(".jsonl"))
 
 
 def locate(spark: SparkSession, root: str, repo: str | None = None, limit: int | None = None) -> list[str]:
@@ -52,28 +69,38 @@ def locate(spark: SparkSession, root: str, repo: str | None = None, limit: int |
     return found[:limit] if limit is not None else found
 
 
-def scan(spark: SparkSession, files: list[str]) -> DataFrame:
-    """file, file_size, file_mtime, text of each transcript."""
-    if not files:
-        return spark.createDataFrame([], "file string, file_size long, file_mtime timestamp, text string")
+def stat(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, file_size, file_mtime of the transcripts that are there, without reading them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folders = [d for d in sorted({f.rsplit("/", 1)[0] for f in files}) if (p := path(d)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    if not folders:
+        return spark.createDataFrame([], FILES)
     meta = F.col("_metadata")
-    return spark.read.text(files, wholetext=True).select(meta["file_path"].alias("file"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_mtime"), F.col("value").alias("text"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", "true").load(folders)
+    found = found.select(F.regexp_replace(meta["file_path"], "^file:/+", "file:///").alias("file"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_mtime"))
+    return found.join(spark.createDataFrame([(f,) for f in files], "file string"), "file", "left_semi")
 
 
-def stat(spark: SparkSession, files: list[str]) -> DataFrame:
-    """file, file_size, file_mtime of each transcript, without reading it."""
-    if not files:
-        return scan(spark, files).drop("text")
-    meta = F.col("_metadata")
-    return spark.read.format("binaryFile").load(files).select(meta["file_path"].alias("file"), meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("file_mtime"))
+def scan(spark: SparkSession, files: list[str], size: int = RANGE) -> Scanned:
+    """The lines of transcripts; a file is cut into ranges of ``size`` bytes."""
+    there = [tuple(r) for r in stat(spark, files).collect()]  # names and sizes of files, which are listed here anyway
+    gone = sorted(set(files) - {f for f, _, _ in there})
+    lines, errors = numbered(spark, [(f, n) for f, n, _ in there], size)
+    missing = spark.createDataFrame([(f, "gone") for f in gone], "file string, error string")
+    return Scanned(spark.createDataFrame(there + [(f, 0, None) for f in gone], FILES), lines, errors.unionByName(missing).distinct())
 
 
-def records(texts: DataFrame) -> DataFrame:
+def records(lines: DataFrame) -> DataFrame:
     """file, seq (1-based physical line), v: a variant, null where the line is no JSON."""
-    texts.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    lines = texts.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line"))
-    kept = lines.select("file", (F.col("pos") + 1).alias("seq"), trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return kept.withColumn("valid", is_json("line")).select("file", "seq", F.when(F.col("valid"), F.try_parse_json("line")).alias("v"))
+    kept = lines.select("file", "seq", trimmed(F.col("line")).alias("line")).where("line <> ''")
+    v, checked, strict = parsed(F.col("line"))
+    return kept.withColumn("_v", v).withColumn("_checked", checked).select("file", "seq", strict.alias("v"))
+
+
+def problems(s: Scanned) -> DataFrame:
+    """file, seq, problem: files that could not be read whole (no seq), and lines that are no JSON."""
+    lines = records(s.lines).where("v is null").select("file", "seq", F.lit("no JSON").alias("problem"))
+    return lines if s.errors is None else lines.unionByName(s.errors.select("file", F.lit(None).cast("long").alias("seq"), F.col("error").alias("problem")))
 
 
 def _text(path: str) -> Column:
@@ -94,7 +121,8 @@ def as_text(value: Column) -> Column:
 
 
 def paired(blocks: DataFrame) -> DataFrame:
-    """Each tool result with the last use of its id before it in the file."""
+    """file, seq, block, tool_use_id, result, use: each tool result with the last use of its
+    id before it in the file.  Only what is made of a block goes through the shuffle."""
     b = F.col("b")
     kind = typed(b, "$.type", "STRING")
     use, result = kind == "tool_use", kind == "tool_result"
@@ -106,15 +134,14 @@ def paired(blocks: DataFrame) -> DataFrame:
         typed(b, "$.input.description", "STRING").alias("description"),
         _text("$.timestamp").alias("ts"),
     )
-    both = blocks.where(key.isNotNull()).select("file", "seq", "block", "v", "b", key.alias("tool_use_id"), result.alias("is_result"), F.when(use, made).alias("use"))
+    both = blocks.where(key.isNotNull()).select("file", "seq", "block", key.alias("tool_use_id"), F.when(result, classified(F.col("v"), b)).alias("result"), F.when(use, made).alias("use"))
     before = Window.partitionBy("file", "tool_use_id").orderBy("seq", "block").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("use", F.last("use", ignorenulls=True).over(before)).where(F.col("is_result") & F.col("use").isNotNull())
+    return both.withColumn("use", F.last("use", ignorenulls=True).over(before)).where(F.col("result").isNotNull() & F.col("use").isNotNull())
 
 
-def executions(blocks: DataFrame) -> DataFrame:
-    """file, ord, seq, tool_use_id, command, description, ts, stdout, stderr, exit_code, outcome, backgrounded."""
-    rows = paired(blocks).where((F.col("use.name") == "Bash") & (F.col("use.command") != ""))
-    b, result = F.col("b"), lambda k, t: typed(F.col("v"), f"$.toolUseResult.{k}", t)
+def classified(v: Column, b: Column) -> Column:
+    """stdout, stderr, exit_code, outcome, backgrounded of a block ``b`` of record ``v`` that is a tool result."""
+    result = lambda k, t: typed(v, f"$.toolUseResult.{k}", t)
     text = as_text(F.try_variant_get(b, "$.content", "variant"))
     background = result("backgroundTaskId", "STRING").isNotNull()
     what = classify_result(
@@ -126,17 +153,14 @@ def executions(blocks: DataFrame) -> DataFrame:
         result("stdout", "STRING"),
         result("stderr", "STRING"),
     )
-    return rows.select(
-        "file",
-        F.struct(F.col("use.seq").alias("use_seq"), F.col("seq").alias("result_seq"), F.col("block").alias("block")).alias("ord"),
-        F.col("use.seq").alias("seq"),
-        "tool_use_id",
-        F.col("use.command").alias("command"),
-        F.col("use.description").alias("description"),
-        F.col("use.ts").alias("ts"),
-        what.alias("r"),
-        background.alias("backgrounded"),
-    ).select("file", "ord", "seq", "tool_use_id", "command", "description", "ts", "r.stdout", "r.stderr", "r.exit_code", "r.outcome", "backgrounded")
+    return F.struct(*[what[c].alias(c) for c in ("stdout", "stderr", "exit_code", "outcome")], background.alias("backgrounded"))
+
+
+def executions(blocks: DataFrame) -> DataFrame:
+    """file, ord, seq, tool_use_id, command, description, ts, stdout, stderr, exit_code, outcome, backgrounded."""
+    rows = paired(blocks).where((F.col("use.name") == "Bash") & (F.col("use.command") != ""))
+    place = F.struct(F.col("use.seq").alias("use_seq"), F.col("seq").alias("result_seq"), F.col("block").alias("block"))
+    return rows.select("file", place.alias("ord"), "use.seq", "tool_use_id", "use.command", "use.description", "use.ts", "result.*")
 
 
 def _first_seen(value: str) -> Column:
@@ -144,7 +168,7 @@ def _first_seen(value: str) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("seq", "block", value)))), lambda x: x[value]))
 
 
-def sessions(texts: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def sessions(files: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per file with the session's own facts."""
     usage = lambda k: F.sum(F.coalesce(typed(F.col("v"), f"$.message.usage.{k}", "NUMBER"), F.lit(0.0))).cast("long")
     seq = F.col("seq")
@@ -168,7 +192,7 @@ def sessions(texts: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     name = F.coalesce(typed(F.col("b"), "$.name", "STRING"), F.lit(""))
     hidden = blocks.where((typed(F.col("b"), "$.type", "STRING") == "tool_use") & matches(name, (P.OPAQUE, "i"))).withColumn("tool", name)
     opaque = hidden.groupBy("file").agg(_first_seen("tool").alias("opaque_executors"))
-    out = texts.select("file", "file_size", "file_mtime").join(facts, "file", "left").join(opaque, "file", "left")
+    out = files.select("file", "file_size", "file_mtime").join(facts, "file", "left").join(opaque, "file", "left")
     none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
     return out.select(
         F.coalesce("own_id", "file").alias("session_id"), "file", "file_size", "file_mtime", "cwd", "git_branch", "agent_version", "started_at", "ended_at",
@@ -177,9 +201,9 @@ def sessions(texts: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def normalize(texts: DataFrame) -> Transcripts:
+def normalize(s: Scanned) -> Transcripts:
     """Sessions, shell executions, prose and edits of scanned transcripts."""
-    rows = records(texts)
+    rows = records(s.lines)
     blocks = _blocks(rows)
     b = F.col("b")
     kind, name = typed(b, "$.type", "STRING"), typed(b, "$.name", "STRING")
@@ -188,7 +212,7 @@ def normalize(texts: DataFrame) -> Transcripts:
     of_file, of_notebook = typed(b, "$.input.file_path", "STRING"), typed(b, "$.input.notebook_path", "STRING")
     what = F.when((name == "Write") & of_file.isNotNull(), "write").when((name == "Edit") & of_file.isNotNull(), "edit").when((name == "NotebookEdit") & of_notebook.isNotNull(), "notebook")
     edits = blocks.where((kind == "tool_use") & what.isNotNull()).select("file", "seq", "block", F.when(what == "notebook", of_notebook).otherwise(of_file).alias("path"), what.alias("kind"))
-    return Transcripts(sessions(texts, rows, blocks), executions(blocks), said, edits)
+    return Transcripts(sessions(s.files, rows, blocks), executions(blocks), said, edits)
 
 
 def in_scope(t: Transcripts, repo: str | None = None, branch: str | None = None, session: str | None = None) -> DataFrame:

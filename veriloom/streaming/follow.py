@@ -1,26 +1,26 @@
-"""Incremental ingest: a file stream that feeds the store.
+"""Incremental ingest: a stream of the files that have grown, which feeds the store.
 
-Spark's file source tells which files are new; the store decides what of them is,
-by size, time and each session's last stored line, so a batch that runs again adds
-nothing.  The source does not see that a known path has grown: rotate transcripts,
-or call ``Store.ingest`` for those.
+The stream's offset has the bytes of each file that were taken, so a file that grows
+under its path is seen again, and after a restart only what is new.  The store decides
+what of a file is new by each session's last stored line, so a batch that runs again adds
+nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veriloom.sources.store import Store
+from veriloom.streaming.transcripts import growing
 
 
-def follow(spark: SparkSession, root: str, store: Store, checkpoint: str, repo: str | None = None, **trigger) -> StreamingQuery:
+def follow(spark: SparkSession, root: str, store: Store, checkpoint: str, repo: str | None = None, settled: float = 60, **trigger) -> StreamingQuery:
     """Starts the stream over ``root``/*/*.jsonl; ``trigger`` as in DataStreamWriter.trigger."""
 
     def add(batch: DataFrame, number: int) -> None:
-        files = sorted(r[0] for r in batch.select("file").distinct().collect())  # names of the batch's files
+        files = sorted(r[0] for r in batch.select("file").distinct().collect())  # names of the files that grew
         store.ingest(files, repo)
 
-    lines = spark.readStream.format("text").option("wholetext", True).load(f"{root}/*/*.jsonl")
-    return lines.select(F.col("_metadata.file_path").alias("file")).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    names = growing(spark, root, names="true", settled=str(settled))
+    return names.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
