@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,31 +55,91 @@ FOUND = "doc_id long, n_words long, spans array<struct<start:long, end:long>>, k
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class Words:
-    """64-bit hashes of words; a bounded memory of those seen."""
-
-    def __init__(self, held: int = 200_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.held = held
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 18
+LETTERS = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2**64."""
+    out = []
+    for x in (int(ODD[0]), pow(int(ODD[0]), -1, 1 << 64)):
+        steps = np.full(SLICE, x, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
+
+
+class Texts:
+    """The words of some texts: where each is in one buffer, and a 64-bit hash of it."""
+
+    def __init__(self, texts: Iterable[bytes | None]) -> None:
+        held = [t or b"" for t in texts]
+        self.buffer = np.frombuffer(b"\n".join([*held, b""]), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])]).astype(np.int64)
+        self.letter = ~BLANK[self.buffer]
+        edges = np.flatnonzero(self.letter[1:] != self.letter[:-1]) + 1
+        edges = np.concatenate([[0], edges]) if len(self.letter) and self.letter[0] else edges
+        self.starts, self.ends = edges[::2], edges[1::2]  # a text ends in white space here
+        #: Place of each text's first word, and of the first word after the last text.
+        self.first = np.searchsorted(self.starts, self.offsets)
+        self.code = self._hashed()
+        #: Words from each word to its text's end.
+        self.left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.starts))
+
+    def _hashed(self) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > self.held:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for word in set(words).difference(known):
-            known[word] = digest(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        power, inverse = _powers()
+        code, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(code):
+            a = self.starts[at]
+            to = int(np.searchsorted(self.ends, a + SLICE, "right"))
+            if to == at:  # a word longer than a slice
+                code[at] = xxhash.xxh64_intdigest(self.buffer[a : self.ends[at]].tobytes())
+                at += 1
+                continue
+            sums = np.zeros(self.ends[to - 1] - a + 1, np.uint64)
+            np.cumsum(LETTERS[self.buffer[a : self.ends[to - 1]]] * power[: len(sums) - 1], out=sums[1:])
+            start, end = self.starts[at:to] - a, self.ends[at:to] - a
+            code[at:to] = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * ODD[3]
+            at = to
+        code ^= code >> np.uint64(32)
+        code *= ODD[2]
+        return code ^ (code >> np.uint64(29))
+
+    def places(self, block: int) -> np.ndarray:
+        """Where the blocks start."""
+        behind = np.arange(len(self.starts)) - np.repeat(self.first[:-1], np.diff(self.first))
+        return np.flatnonzero((behind % block == 0) & (self.left >= block))
+
+    def kept(self, k: int, spans: list[tuple[int, int]]) -> str:
+        """The words of a text but for spans of them, joined by one space."""
+        a, b, first = self.offsets[k], self.offsets[k + 1], self.first[k]
+        own = slice(first, self.first[k + 1])
+        text, keep = self.buffer[a:b].copy(), self.letter[a:b].copy()
+        text[self.ends[own] - a], keep[self.ends[own] - a] = 0x20, True
+        for x, y in spans:
+            keep[self.starts[first + x] - a : self.ends[first + y - 1] - a + 1] = False
+        return text[keep][:-1].tobytes().decode("utf-8", "replace")
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
+    x = a * ODD[0]
+    x += b ^ odd
+    x ^= x >> np.uint64(31)
+    x *= odd
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _joined(a: np.ndarray, b: np.ndarray, shift: int, odd: np.uint64) -> np.ndarray:
     """Hashes of runs made of a run of ``a`` and the run of ``b`` that starts ``shift`` later."""
     n = max(0, min(len(a), len(b) - shift))
-    x = a[:n] * ODD[0] + (b[shift : shift + n] ^ odd)
-    x ^= x >> np.uint64(31)
-    x *= odd
-    return x ^ (x >> np.uint64(29))
+    return _mixed(a[:n], b[shift : shift + n], odd)
 
 
 def runs(code: np.ndarray, n: int, odd: np.uint64 = ODD[1]) -> np.ndarray:
@@ -94,16 +155,25 @@ def runs(code: np.ndarray, n: int, odd: np.uint64 = ODD[1]) -> np.ndarray:
     return out
 
 
+def runs_at(code: np.ndarray, places: np.ndarray, n: int, odd: np.uint64 = ODD[1]) -> np.ndarray:
+    """The same for some places only."""
+    if 6 * len(places) > len(code):
+        return runs(code, n, odd)[places]
+    out, have = None, 0
+    for size in (1 << k for k in range(n.bit_length()) if n >> k & 1):
+        part = [code[places + k] for k in range(have, have + size)]
+        while len(part) > 1:
+            part = [_mixed(a, b, odd) for a, b in zip(part[::2], part[1::2], strict=True)]
+        out = part[0] if out is None else _mixed(out, part[0], odd)
+        have += size
+    return out
+
+
 def keyed(code: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket and 32 bits of hashes, as one number."""
     return (code >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | code & np.uint64(0xFFFFFFFF)
 
 
-def _split(texts: pa.Array | pa.ChunkedArray) -> Iterator[list[bytes]]:
-    for text in texts.cast(pa.binary()).to_pylist():
-        yield (text or b"").split()  # of bytes: at the six ASCII white-space characters
-
-
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """If each value is in a sorted array."""
     if not len(ordered):
@@ -144,28 +214,29 @@ def _dealt(size: int):
 def _probes(block: int, buckets: int):
     """The asks of pass 1: every rolling run of a block's length, and which of them are blocks."""
 
-    def asked(unit: int, probes: list, blocks: list) -> Iterator[pa.RecordBatch]:
-        keys, times = np.unique(np.concatenate(probes), return_counts=True)
+    def asked(unit: int, texts: list) -> Iterator[pa.RecordBatch]:
+        own = Texts(texts)
+        code = runs(own.code, block)
+        code = keyed(code, buckets)
+        keys, times = np.unique(code[own.left[: len(code)] >= block], return_counts=True)
         is_block = np.zeros(len(keys), bool)
-        is_block[np.searchsorted(keys, np.unique(np.concatenate(blocks)))] = True
+        is_block[np.searchsorted(keys, code[own.places(block)])] = True
         low = keys.astype(np.uint32)
         rows = [(b, unit, None, low[at].tobytes(), np.packbits(times[at] > 1).tobytes(), np.packbits(is_block[at]).tobytes()) for b, at in _slices(keys >> np.uint64(32))]
         for k in range(0, len(rows), 4096):
             yield _asks(rows[k : k + 4096])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, unit, probes, blocks = Words(), None, [], []
+        unit, texts = None, []
         for batch in batches:
-            for u, words in zip(batch.column("unit").to_pylist(), _split(batch.column("text")), strict=True):
+            for u, text in zip(batch.column("unit").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if u != unit:
-                    if probes:
-                        yield from asked(unit, probes, blocks)
-                    unit, probes, blocks = u, [], []
-                if len(words) >= block:
-                    probes.append(keyed(runs(own(words), block), buckets))
-                    blocks.append(probes[-1][::block])
-        if probes:
-            yield from asked(unit, probes, blocks)
+                    if texts:
+                        yield from asked(unit, texts)
+                    unit, texts = u, []
+                texts.append(text)
+        if texts:
+            yield from asked(unit, texts)
 
     return run
 
@@ -188,27 +259,23 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, ("unit", "bucket", "hits", "again"), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))])
 
 
-class Unit:
-    """The windows of a unit that may repeat: starts by document, and their distinct hashes in order."""
+class Unit(Texts):
+    """A unit's windows that may repeat: where they start, and their distinct hashes in order."""
 
     def __init__(self, texts: pa.ChunkedArray, answers: pa.Table, window: int, buckets: int) -> None:
-        block, own, parts = (window + 1) // 2, Words(), []
+        super().__init__(texts.cast(pa.binary()).to_pylist())
+        block = (window + 1) // 2
         known = [np.frombuffer(h, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, h in zip(answers.column("bucket").to_pylist(), answers.column("hits").to_pylist(), strict=True) if h is not None]
-        hits = np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)
-        self.starts: dict[int, np.ndarray] = {}
-        for k, words in enumerate(_split(texts) if len(hits) else ()):
-            n = len(words) - window + 1
-            if n <= 0:
-                continue
-            code = own(words)
-            hit = _among(keyed(runs(code, block), buckets)[::block], hits)
-            if not hit.any():
-                continue
-            at = np.flatnonzero(hit[(np.arange(n) + block - 1) // block])  # by the first block in each window
-            if len(at):
-                self.starts[k] = at
-                parts.append((runs(code, window, ODD[2])[at], runs(code, window, ODD[3])[at]))
-        high, low = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in (0, 1))
+        self.at = np.empty(0, np.int64)
+        if known:
+            places = self.places(block)
+            hit = places[_among(keyed(runs_at(self.code, places, block), buckets), np.sort(np.concatenate(known)))]
+            # a block is the first in the windows that start at it or up to block - 1 words before, in its text
+            last = np.full(len(self.code), -1, np.int64)
+            last[hit] = hit
+            ahead = np.minimum.accumulate(np.where(last < 0, len(self.code), last)[::-1])[::-1]
+            self.at = np.flatnonzero((ahead - np.arange(len(ahead)) < block) & (self.left >= window))
+        high, low = (runs_at(self.code, self.at, window, odd) if len(self.at) else np.empty(0, np.uint64) for odd in ODD[2:])
         bucket = (low >> np.uint64(32)) % np.uint64(buckets)
         low = low.astype(np.uint32)
         order = np.lexsort((low, high, bucket))
@@ -216,7 +283,7 @@ class Unit:
         new[1:] = (np.diff(bucket[order]) != 0) | (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)
         self.bucket, self.high, self.low = (x[order][new] for x in (bucket, high, low))
         place = np.cumsum(new) - 1
-        #: of each window, in order of documents, the place of its hash
+        #: Of each window the place of its hash.
         self.of = np.empty(len(order), np.int64)
         self.of[order] = place
         self.twice = np.bincount(place, minlength=len(self.high)) > 1 if len(order) else np.empty(0, bool)
@@ -262,22 +329,14 @@ def _cut(window: int, buckets: int):
         for b, at in _slices(u.bucket):
             if b in told:
                 again[at] = np.unpackbits(np.frombuffer(told[b], np.uint8), count=at.stop - at.start)
-        again, at, rows = again[u.of], 0, []
-        for k, (doc_id, words) in enumerate(zip(texts.column("doc_id").to_pylist(), _split(texts.column("text")), strict=True)):
+        starts, rows = u.at[again[u.of]], []
+        own = np.searchsorted(starts, u.first)
+        for k, doc_id in enumerate(texts.column("doc_id").to_pylist()):
             spans: list[tuple[int, int]] = []
-            if k in u.starts:
-                own = u.starts[k]
-                starts = own[again[at : at + len(own)]]
-                at += len(own)
-                if len(starts):
-                    lead = np.flatnonzero(np.diff(starts, prepend=-window - 1) > window)  # a gap between windows
-                    ends = starts[np.append(lead[1:], len(starts)) - 1] + window
-                    spans = list(zip(starts[lead].tolist(), ends.tolist(), strict=True))
-            kept, last = [], 0
-            for a, b in spans:
-                kept += words[last:a]
-                last = b
-            rows.append((doc_id, len(words), [{"start": a, "end": b} for a, b in spans], b" ".join(kept + words[last:] if spans else words).decode("utf-8", "replace")))
+            if (at := starts[own[k] : own[k + 1]] - u.first[k]).size:
+                lead = np.flatnonzero(np.diff(at, prepend=-window - 1) > window)  # after a gap between windows
+                spans = list(zip(at[lead].tolist(), (at[np.append(lead[1:], len(at)) - 1] + window).tolist(), strict=True))
+            rows.append((doc_id, int(u.first[k + 1] - u.first[k]), [{"start": a, "end": b} for a, b in spans], u.kept(k, spans)))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.Table.from_batches([_batch(rows, ("doc_id", "n_words", "spans", "kept"), (pa.int64(), pa.int64(), span, pa.string()))])
 
