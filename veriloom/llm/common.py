@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,13 +53,33 @@ def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, rows: int = 2000, parts: int | None = None) -> DataFrame:
+#: What the scopes around a job have written, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside go at the end, whether it is reached or not."""
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        removed(spark, *made)
+
+
+def written(df: DataFrame, name: str, rows: int = 2000, parts: int | None = None, outside: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut.
 
-    ``parts`` is the most files it gets, for tables whose size is known.
+    ``parts`` is the most files it gets, for tables whose size is known.  A table for
+    use ``outside`` the innermost scope belongs to the one around it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veriloom/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.get()[: -1 if outside else None]
+    if scopes:
+        scopes[-1].append(path)
     with setting(spark, ARROW_ROWS, rows), setting(spark, CLEANUP, "true"):
         (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
