@@ -110,7 +110,7 @@ def test_growing_transcript(spark, tmp_path):
     grown = store.ingest(files())
     assert (grown.fresh, grown.grown, grown.events) == (0, 1, 3)
     assert store.verify() == {"ok": True, "events": 6, "head": grown.head}
-    assert not [p.name for p in (tmp_path / "store").iterdir() if p.name.startswith(("staged", "own"))]
+    assert not [p.name for p in (tmp_path / "store").iterdir() if p.name.startswith(("staged", "own", "lines"))]
     report = store.read().reports.first()
     assert (report["verdict"], report["claims"]) == ("CONTRADICTED", 2)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriloom.plans.reconcile import Evidence, extract_claims, reconcile
+from veriloom.sources.scratch import scratch
 from veriloom.sources.transcripts import Scanned
 
 # Fixed values: (type, id modulo 4) of an event -> command, output, exit code.
@@ -70,16 +71,23 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of this job, computed once."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
-    """The derived sessions, reconciled."""
-    rows = steps(spark, sf_dir)
+    """The derived sessions, reconciled; the events are read once."""
+    rows = kept(steps(spark, sf_dir), "steps")
     zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
     sessions = rows.groupBy("session_id").agg(F.first("cwd").alias("cwd"), F.first("git_branch").alias("git_branch"), F.min("ts").alias("started_at"), F.sum(F.col("event_id") % 100).alias("input_tokens"), F.sum(F.col("event_id") % 10).alias("output_tokens"))
     sessions = sessions.withColumn("opaque_executors", none)
     execs = rows.where("command is not null").select("session_id", F.struct("seq").alias("ord"), "seq", "command", "stdout", F.lit("").alias("stderr"), "exit_code", F.when(F.col("exit_code") == 0, "passed").otherwise("failed").alias("outcome"), "ts")
     edits = rows.where("event_id % 7 = 0").select("session_id", "seq")
     claims = extract_claims(rows.where("said is not null").select("session_id", "seq", F.lit(0).alias("block"), "ts", F.col("said").alias("text")))
-    return reconcile(sessions.withColumn("unparsed_lines", zero), execs, edits, claims)
+    return reconcile(sessions.withColumn("unparsed_lines", zero), execs, edits, claims, kept)
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> Scanned:
@@ -98,7 +106,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> Scanned:
     result = F.to_json(F.struct(F.lit("user").alias("type"), *common, F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), use_id.alias("tool_use_id"), text.alias("content"), (F.col("exit_code") != 0).alias("is_error"))).alias("content")).alias("message")))
     file = F.concat(F.lit("/s/"), "session_id", F.lit(".jsonl"))
     each = rows.select(file.alias("file"), "last_line", F.when(F.col("said").isNotNull(), F.array(said)).otherwise(F.array(use, result)).alias("told"))
-    lines = each.select("file", (F.col("last_line") - F.size("told") + 1).alias("first"), F.posexplode("told").alias("pos", "line"))
-    lines = lines.select("file", (F.col("first") + F.col("pos")).alias("seq"), "line")
+    lines = each.select("file", (F.col("last_line") - F.size("told") + 1).alias("first"), F.posexplode_outer("told").alias("pos", "line"))
+    lines = lines.where("pos is not null").select("file", (F.col("first") + F.col("pos")).alias("seq"), "line")
     files = lines.groupBy("file").agg(F.sum(F.length("line") + 1).alias("file_size")).withColumn("file_mtime", F.lit(None).cast("timestamp"))
     return Scanned(files, lines)

@@ -122,8 +122,8 @@ def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key, sep = F.col("o_orderkey"), F.element_at(F.array(*[F.lit(s) for s in (" && ", " || ", " ; ", " | ", " |& ", " & ", "\n")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
     command = F.concat(F.lit("run-"), key.cast("string"), F.lit(" 2>&1"), sep, F.lit("grep \"a|b;c\" "), F.col("o_orderstatus"), F.lit(" | tail &> log"))
-    each = o.select("o_orderkey", F.posexplode(shell.split_segments(command)).alias("pos", "s"))
-    return each.select("o_orderkey", "pos", "s.text", "s.pipe_index", "s.last_in_pipe")
+    each = o.select("o_orderkey", F.posexplode_outer(shell.split_segments(command)).alias("pos", "s"))
+    return each.where("pos is not null").select("o_orderkey", "pos", "s.text", "s.pipe_index", "s.last_in_pipe")
 
 
 def output_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,13 +141,13 @@ def _assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _assistant(spark, sf_dir).select("conv_id", "turn", F.posexplode(prose.sentences(prose.strip_non_prose(F.col("text")))).alias("pos", "sentence"))
-    return rows.select("conv_id", "turn", "pos", "sentence", prose.may_claim(F.col("sentence")).alias("may_claim"))
+    rows = _assistant(spark, sf_dir).select("conv_id", "turn", F.posexplode_outer(prose.sentences(prose.strip_non_prose(F.col("text")))).alias("pos", "sentence"))
+    return rows.where("pos is not null").select("conv_id", "turn", "pos", "sentence", prose.may_claim(F.col("sentence")).alias("may_claim"))
 
 
 def prose_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prose.with_claims(_assistant(spark, sf_dir), "text").select("conv_id", "turn", F.explode("claims").alias("c"))
-    return rows.select("conv_id", "turn", "c.activity", "c.assertion", "c.sentence")
+    rows = prose.with_claims(_assistant(spark, sf_dir), "text").select("conv_id", "turn", F.explode_outer("claims").alias("c"))
+    return rows.where("c is not null").select("conv_id", "turn", "c.activity", "c.assertion", "c.sentence")
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:

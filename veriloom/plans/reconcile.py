@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,10 @@ def rank(verdict: Column) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), verdict) - 1
 
 
+# Lists are exploded in the outer form and empty ones dropped after it: else a filter on the
+# list is inferred below, and the whole expression that makes the list is run in it again.
+
+
 def with_activities(execs: DataFrame) -> DataFrame:
     """``execs`` with ``segments`` that do something known, and ``acts``, their distinct activities.
 
@@ -54,13 +59,13 @@ def observed_runs(execs: DataFrame) -> DataFrame:
 
     One run per activity of a command, of its first segment; denied commands ran nothing.
     """
-    each = with_activities(execs).select("*", F.posexplode("acts").alias("run_ord", "activity"))
+    each = with_activities(execs).select("*", F.posexplode_outer("acts").alias("run_ord", "activity")).where("activity is not null")
     return each.withColumn("found", run_found()).select("session_id", "ord", "seq", "run_ord", "activity", F.col("found.outcome").alias("outcome"), F.col("found.basis").alias("basis"), "exit_code", "command", "ts")
 
 
 def extract_claims(utterances: DataFrame) -> DataFrame:
     """session_id, seq, ts, claim_ord, activity, assertion, sentence."""
-    each = with_claims(utterances.select("session_id", "seq", "block", "ts", "text"), "text").select("session_id", "seq", "block", "ts", F.explode("claims").alias("c"))
+    each = with_claims(utterances.select("session_id", "seq", "block", "ts", "text"), "text").select("session_id", "seq", "block", "ts", F.explode_outer("claims").alias("c")).where("c is not null")
     order = F.struct("seq", "block", F.col("c.spos").alias("spos"), F.col("c.ppos").alias("ppos"))
     return each.select("session_id", "seq", "ts", order.alias("claim_ord"), "c.activity", "c.assertion", "c.sentence")
 
@@ -126,15 +131,16 @@ def reports(sessions: DataFrame, execs: DataFrame, edits: DataFrame, runs: DataF
     return out.withColumn("verdict", verdict).withColumn("summary", summary).withColumn("risk", risk).drop("worst")
 
 
-def reconcile(sessions: DataFrame, execs: DataFrame, edits: DataFrame, claims: DataFrame) -> Evidence:
+def reconcile(sessions: DataFrame, execs: DataFrame, edits: DataFrame, claims: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Evidence:
     """All keyed by session_id; ``claims`` are extracted, or read from a store.
 
-    ``sessions`` also has ``id``, the id to show, if that is another one.
+    ``sessions`` also has ``id``, the id to show, if that is another one.  ``keep`` may
+    write runs, claims and findings, which several parts read, and read them back.
     """
     if "id" not in sessions.columns:
         sessions = sessions.withColumn("id", F.col("session_id"))
-    runs = observed_runs(execs)
-    findings = judge(claims, runs, sessions, execs)
+    runs = keep(observed_runs(execs), "runs")
+    findings = keep(judge(keep(claims, "claims"), runs, sessions, execs), "findings")
     return Evidence(sessions, runs, findings, reports(sessions, execs, edits, runs, findings))
 
 

@@ -229,10 +229,10 @@ class Store:
         fresh = [r["file"] for r in self.unseen(T.stat(self.spark, files)).select("file").collect()]  # names of files that changed
         if not fresh:
             return Ingested(self.manifest()["head"], 0, 0, 0, len(files), {}, [])
-        return self.add(T.normalize(T.scan(self.spark, fresh)), repo, len(files))
+        return self.add(T.scan(self.spark, fresh), repo, len(files))
 
-    def add(self, t: T.Transcripts, repo: str | None = None, files: int = 0) -> Ingested:
-        """Appends what is new in normalized transcripts."""
+    def add(self, scanned: T.Scanned, repo: str | None = None, files: int = 0) -> Ingested:
+        """Appends what is new in scanned transcripts, which are read once."""
         stem, made = uuid.uuid4().hex, []
 
         def kept(df: DataFrame, name: str) -> DataFrame:
@@ -241,14 +241,15 @@ class Store:
             return self.spark.read.schema(df.schema).parquet(f"{self.path}/{made[-1]}")
 
         try:
+            t = T.normalize(scanned, kept(T.records(scanned.lines), "lines"))
             return self._added(t, repo, files, stem, kept)
         except BaseException:
             for name in made:
                 self._fs.delete(self._path(f"{self.path}/{name}"), True)
             raise
         finally:
-            self._fs.delete(self._path(f"{self.path}/staged-{stem}"), True)
-            self._fs.delete(self._path(f"{self.path}/own-{stem}"), True)
+            for name in ("lines", "staged", "own"):
+                self._fs.delete(self._path(f"{self.path}/{name}-{stem}"), True)
 
     def _added(self, t: T.Transcripts, repo: str | None, files: int, stem: str, kept: Callable) -> Ingested:
         before = self.manifest()

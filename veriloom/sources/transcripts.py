@@ -110,7 +110,7 @@ def _text(path: str) -> Column:
 def _blocks(rows: DataFrame) -> DataFrame:
     """The blocks of each message's content."""
     content = F.try_variant_get("v", "$.message.content", "array<variant>")
-    return rows.select("file", "seq", "v", F.posexplode(content).alias("block", "b"))
+    return rows.select("file", "seq", "v", F.posexplode_outer(content).alias("block", "b")).where("block is not null")
 
 
 def as_text(value: Column) -> Column:
@@ -153,14 +153,15 @@ def classified(v: Column, b: Column) -> Column:
         result("stdout", "STRING"),
         result("stderr", "STRING"),
     )
-    return F.struct(*[what[c].alias(c) for c in ("stdout", "stderr", "exit_code", "outcome")], background.alias("backgrounded"))
+    return what.withField("backgrounded", background)
 
 
 def executions(blocks: DataFrame) -> DataFrame:
     """file, ord, seq, tool_use_id, command, description, ts, stdout, stderr, exit_code, outcome, backgrounded."""
     rows = paired(blocks).where((F.col("use.name") == "Bash") & (F.col("use.command") != ""))
+    own = [f"result.{c}" for c in ("stdout", "stderr", "exit_code", "outcome", "backgrounded")]
     place = F.struct(F.col("use.seq").alias("use_seq"), F.col("seq").alias("result_seq"), F.col("block").alias("block"))
-    return rows.select("file", place.alias("ord"), "use.seq", "tool_use_id", "use.command", "use.description", "use.ts", "result.*")
+    return rows.select("file", place.alias("ord"), "use.seq", "tool_use_id", "use.command", "use.description", "use.ts", *own)
 
 
 def _first_seen(value: str) -> Column:
@@ -201,9 +202,13 @@ def sessions(files: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def normalize(s: Scanned) -> Transcripts:
-    """Sessions, shell executions, prose and edits of scanned transcripts."""
-    rows = records(s.lines)
+def normalize(s: Scanned, rows: DataFrame | None = None) -> Transcripts:
+    """Sessions, shell executions, prose and edits of scanned transcripts.
+
+    ``rows`` are their records, if these are kept: each part reads them, and without that
+    each part reads the files.
+    """
+    rows = records(s.lines) if rows is None else rows
     blocks = _blocks(rows)
     b = F.col("b")
     kind, name = typed(b, "$.type", "STRING"), typed(b, "$.name", "STRING")
