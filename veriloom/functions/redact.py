@@ -2,7 +2,9 @@
 
 The rules apply one after the other, each to what the one before it left, and the
 value rules look at a value's shape, so this is a sequential text function; the
-UDF sees batches, and the texts are bounded by the outputs of single commands.
+UDF sees batches, and the texts are bounded by the outputs of single commands.  A text
+meets only the rules whose literals it has (see ``literals``), most texts none; once
+a mark has been set, which is text too, all rules that follow are tried.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriloom.functions import patterns as P
+from veriloom.functions.literals import Prefilter, needed
 from veriloom.functions.regex import EDGE, portable
 
 HELD_BYTES, HEAD_SHARE = 8192, 0.4
@@ -32,6 +35,9 @@ SENSITIVE, ASSIGNED = _compiled(P.SENSITIVE_KEY, "i"), _compiled(P.ASSIGNED_VALU
 NO_SECRET, HASH_KEY, HASH_VALUE, PATH_VALUE = _compiled(P.NO_SECRET, "i"), _compiled(P.HASH_KEY, "i"), _compiled(P.HASH_VALUE, "i"), _compiled(P.PATH_VALUE)
 
 
+MAY = Prefilter([needed(rule.pattern, rule.flags) for rule in (*[r for _, r, _ in RULES], SENSITIVE, ASSIGNED)])
+
+
 def entropy(text: str) -> float:
     """Bits of the characters' shares, which are over the length in UTF-16 units."""
     n = len(text.encode("utf-16-le", "surrogatepass")) // 2
@@ -65,9 +71,12 @@ def redact(text: str) -> tuple[str, Counter]:
         keep = value is None or _plain_value(key, value) or entropy(value) < P.ENTROPY
         return m[0] if keep else mark(m[0], value, "high-entropy")
 
-    for kind, rule, group in RULES:
-        text = rule.sub(lambda m, kind=kind, group=group: mark(m[0], m[group], kind), text)
-    return ASSIGNED.sub(by_entropy, SENSITIVE.sub(by_key, text)), counts
+    may = MAY(text)
+    steps = [(rule, lambda m, kind=kind, group=group: mark(m[0], m[group], kind)) for kind, rule, group in RULES] if may else []
+    for k, (rule, step) in enumerate([*steps, (SENSITIVE, by_key), (ASSIGNED, by_entropy)] if may else []):
+        if counts or may >> k & 1:
+            text = rule.sub(step, text)
+    return text, counts
 
 
 def shortened(text: str, most: int = HELD_BYTES) -> tuple[str, bool]:

@@ -6,9 +6,10 @@ it: what the step ran or said follows from the event's type and its id modulo 4.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriloom.operators.ordered import running, spread
 from veriloom.plans.reconcile import Evidence, extract_claims, reconcile
 from veriloom.sources.scratch import scratch
 from veriloom.sources.transcripts import Scanned
@@ -53,13 +54,15 @@ def _lookup(table: dict, field: int | None) -> Column:
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, seq, last_line, event_id, command, stdout, exit_code, said, ts, cwd, git_branch."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lines = {"seq": F.lit(1), "last_line": F.when(_lookup(SAID, None).isNotNull(), 1).otherwise(2)}
+    # a user may have most of the events
+    events = running(events, ["user_id"], ["ts", "event_id"], sums=lines, slices=spread(events, ["user_id"]), by=F.unix_micros("ts"))
     user = F.col("user_id")
     return events.select(
         user.cast("string").alias("session_id"),
-        F.row_number().over(by_time).cast("long").alias("seq"),
+        F.col("seq").cast("long").alias("seq"),
         # a step that says something is one line of a transcript, any other two
-        F.sum(F.when(_lookup(SAID, None).isNotNull(), 1).otherwise(2)).over(by_time).alias("last_line"),
+        "last_line",
         "event_id",
         _lookup(RAN, 0).alias("command"),
         _lookup(RAN, 1).alias("stdout"),
@@ -87,7 +90,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
     execs = rows.where("command is not null").select("session_id", F.struct("seq").alias("ord"), "seq", "command", "stdout", F.lit("").alias("stderr"), "exit_code", F.when(F.col("exit_code") == 0, "passed").otherwise("failed").alias("outcome"), "ts")
     edits = rows.where("event_id % 7 = 0").select("session_id", "seq")
     claims = extract_claims(rows.where("said is not null").select("session_id", "seq", F.lit(0).alias("block"), "ts", F.col("said").alias("text")))
-    return reconcile(sessions.withColumn("unparsed_lines", zero), execs, edits, claims, kept)
+    return reconcile(sessions.withColumn("unparsed_lines", zero), execs, edits, claims, kept, spread(rows, ["session_id"]))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> Scanned:

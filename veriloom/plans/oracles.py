@@ -244,3 +244,11 @@ def classified(commands: dict[str, str]) -> str:
     names, kinds = "[" + ", ".join(_q(bare.get(c, c)) for c in commands) + "]", "[" + ", ".join(_q(a) for a in commands.values()) + "]"
     at = f"p_partkey % {len(commands)} + 1"
     return f"SELECT p_partkey, ({kinds})[{at}] AS activity, ({names})[{at}] || ' ' || p_size AS stripped FROM part"
+
+
+def planted(kinds: dict[str, tuple[str, str, str]]) -> str:
+    """What is left of texts with a secret of each kind, by value."""
+    rows = ", ".join(f"({k}, {_q(kind)}, {_q(before)}, {_q(after)})" for k, (kind, (_, before, after)) in enumerate(kinds.items()))
+    return f"""
+        SELECT doc_id, md5(regexp_replace(coalesce(text, '')[1:300], '[^a-z ]', '', 'g') || ' note ' || before || '«redacted:' || kind || '»' || after || ' end') AS text, kind AS kinds
+        FROM documents JOIN (VALUES {rows}) v(k, kind, before, after) ON doc_id % {len(kinds)} = k"""

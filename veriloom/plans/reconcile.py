@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions import patterns as P
@@ -14,6 +14,7 @@ from veriloom.functions.shell import analyze, outcome, output_verdict
 from veriloom.functions.text import strip_ansi
 from veriloom.operators.asof import asof_join
 from veriloom.operators.labels import unique_labels
+from veriloom.operators.ordered import running
 
 # Verdicts from worst to best, and what a gate fails on.
 VERDICTS = ("CONTRADICTED", "UNSUPPORTED", "UNKNOWN", "VERIFIED")
@@ -74,12 +75,14 @@ def _label(activity: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in P.LABELS.items() for x in pair]), activity)
 
 
-def judge(claims: DataFrame, runs: DataFrame, sessions: DataFrame, execs: DataFrame) -> DataFrame:
-    """``claims`` with verdict, reason and evidence (array of runs, three at most)."""
+def judge(claims: DataFrame, runs: DataFrame, sessions: DataFrame, execs: DataFrame, slices: int = 1) -> DataFrame:
+    """``claims`` with verdict, reason and evidence (array of runs, three at most).
+
+    With ``slices`` a session of very many runs is cut along its lines, see ``ordered``.
+    """
     run = ["activity", "outcome", "basis", "exit_code", "command", "seq", "ts"]
-    place = Window.partitionBy("session_id", "activity").orderBy("seq", "ord", "run_ord")
-    ranked = runs.withColumn("run_no", F.row_number().over(place))
-    met = asof_join(claims, ranked, ["session_id", "activity"], "seq", "run_no", run, "latest")
+    ranked = running(runs, ["session_id", "activity"], ["seq", "ord", "run_ord"], sums={"run_no": F.lit(1)}, slices=slices)
+    met = asof_join(claims, ranked, ["session_id", "activity"], "seq", "run_no", run, "latest", slices)
     firsts = ranked.where("run_no <= 3").groupBy("session_id", "activity").agg(F.array_sort(F.collect_list(F.struct("run_no", F.struct(*run).alias("run")))).alias("firsts"))
     per_exec = execs.groupBy("session_id").agg(F.count(F.lit(1)).alias("execs"), F.bool_or(F.col("outcome") == "denied").alias("denied"))
     facts = sessions.select("session_id", "opaque_executors").join(per_exec, "session_id", "left")
@@ -131,7 +134,7 @@ def reports(sessions: DataFrame, execs: DataFrame, edits: DataFrame, runs: DataF
     return out.withColumn("verdict", verdict).withColumn("summary", summary).withColumn("risk", risk).drop("worst")
 
 
-def reconcile(sessions: DataFrame, execs: DataFrame, edits: DataFrame, claims: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Evidence:
+def reconcile(sessions: DataFrame, execs: DataFrame, edits: DataFrame, claims: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, slices: int = 1) -> Evidence:
     """All keyed by session_id; ``claims`` are extracted, or read from a store.
 
     ``sessions`` also has ``id``, the id to show, if that is another one.  ``keep`` may
@@ -139,8 +142,8 @@ def reconcile(sessions: DataFrame, execs: DataFrame, edits: DataFrame, claims: D
     """
     if "id" not in sessions.columns:
         sessions = sessions.withColumn("id", F.col("session_id"))
-    runs = keep(observed_runs(execs), "runs")
-    findings = keep(judge(keep(claims, "claims"), runs, sessions, execs), "findings")
+    runs, claims = keep(observed_runs(execs), "runs"), keep(claims, "claims")
+    findings = keep(judge(claims, runs, sessions, execs, slices), "findings")
     return Evidence(sessions, runs, findings, reports(sessions, execs, edits, runs, findings))
 
 

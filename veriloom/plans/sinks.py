@@ -134,22 +134,86 @@ def plain_gate(violations: list, counts: dict, branches: int, policy: str, chain
     return "\n".join(out) + "\n"
 
 
+def _e(c: Column | str) -> Column:
+    return X.html_escape(F.col(c) if isinstance(c, str) else c)
+
+
+def _card() -> Column:
+    """The HTML of one digested finding."""
+    shown = F.transform(F.slice("evidence", 1, 3), lambda r: F.concat(F.lit("<pre><code>"), _e(r["command"]), F.lit("</code></pre><p>outcome <b>"), _e(r["outcome"]), F.lit("</b> basis <b>"), _e(r["basis"]), F.lit("</b> exit <b>"), F.coalesce(r["exit_code"].cast("string"), F.lit("n/a")), F.lit("</b></p>")))
+    scope = F.when(F.size("activities") > 1, F.concat(F.lit("claims "), F.array_join("activities", ", "))).otherwise(F.col("activities")[0])
+    return F.concat(F.lit('<article class="'), "verdict", F.lit('"><b>'), mark(F.col("verdict")), F.lit("&nbsp;"), "verdict", F.lit("</b> <span>"), _e(scope), F.lit("</span><p>"), _e("reason"), F.lit("</p><blockquote>"), _e("sentence"), F.lit("</blockquote>"), F.array_join(shown, ""), F.lit("</article>"))
+
+
+def _session() -> Column:
+    """The HTML that stands before a session's findings."""
+    return F.concat(F.lit("<h3>"), _e(F.substring("id", 1, 8)), F.lit("</h3><p>commands "), number(F.col("execs")), F.lit(", runs "), number(F.col("runs")), F.lit(", edits "), number(F.col("edits")), F.lit("</p>"))
+
+
+def _branch(present: Column) -> Column:
+    """The HTML that opens a branch; ``present`` has the verdicts of its findings."""
+    search = F.lower(F.concat_ws(" ", "label", "summary", "verdict"))
+    verdicts = F.array_join(F.array_distinct(F.concat(F.array("verdict"), F.coalesce(present, F.array().cast("array<string>")))), " ")
+    return F.concat(F.lit('<details data-verdicts="'), verdicts, F.lit('" data-search="'), _e(search), F.lit('"><summary class="'), "verdict", F.lit('">'), mark(F.col("verdict")), F.lit(" "), _e("label"), F.lit(": "), _e("summary"), F.lit(" ["), number(F.col("execs")), F.lit(" commands, "), number(F.col("edits")), F.lit(" edits]</summary>"))
+
+
 def html_rows(rows: DataFrame, reports: DataFrame, findings: DataFrame, digests: DataFrame) -> DataFrame:
     """One escaped HTML fragment per branch, worst first, with its findings digested."""
-    e = lambda c: X.html_escape(F.col(c) if isinstance(c, str) else c)
-    shown = F.transform(F.slice("evidence", 1, 3), lambda r: F.concat(F.lit("<pre><code>"), e(r["command"]), F.lit("</code></pre><p>outcome <b>"), e(r["outcome"]), F.lit("</b> basis <b>"), e(r["basis"]), F.lit("</b> exit <b>"), F.coalesce(r["exit_code"].cast("string"), F.lit("n/a")), F.lit("</b></p>")))
-    scope = F.when(F.size("activities") > 1, F.concat(F.lit("claims "), F.array_join("activities", ", "))).otherwise(F.col("activities")[0])
-    card = F.concat(F.lit('<article class="'), "verdict", F.lit('"><b>'), mark(F.col("verdict")), F.lit("&nbsp;"), "verdict", F.lit("</b> <span>"), e(scope), F.lit("</span><p>"), e("reason"), F.lit("</p><blockquote>"), e("sentence"), F.lit("</blockquote>"), F.array_join(shown, ""), F.lit("</article>"))
-    cards = digests.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank(F.col("verdict")).alias("k"), "claim_ord", card.alias("h")))), lambda x: x["h"]), "").alias("cards"), F.collect_set("verdict").alias("present"))
+    cards = digests.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank(F.col("verdict")).alias("k"), "claim_ord", _card().alias("h")))), lambda x: x["h"]), "").alias("cards"), F.collect_set("verdict").alias("present"))
     member = rows.select("label", F.posexplode("sessions").alias("no", "id")).join(reports.select("id", "session_id", "execs", "runs", "edits"), "id").join(cards, "session_id", "left")
-    block = F.concat(F.lit("<h3>"), e(F.substring("id", 1, 8)), F.lit("</h3><p>commands "), number(F.col("execs")), F.lit(", runs "), number(F.col("runs")), F.lit(", edits "), number(F.col("edits")), F.lit("</p>"), F.coalesce("cards", F.lit("")))
+    block = F.concat(_session(), F.coalesce("cards", F.lit("")))
     inner = member.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", block.alias("h")))), lambda x: x["h"]), "").alias("inner"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("present", F.array().cast("array<string>"))))).alias("present"))
-    met = rows.join(inner, "label", "left")
-    search = F.lower(F.concat_ws(" ", "label", "summary", "verdict"))
-    verdicts = F.array_join(F.array_distinct(F.concat(F.array("verdict"), F.coalesce("present", F.array().cast("array<string>")))), " ")
     body = F.when(F.coalesce("inner", F.lit("")) == "", "<p>No claims on this branch.</p>").otherwise(F.col("inner"))
-    out = F.concat(F.lit('<details data-verdicts="'), verdicts, F.lit('" data-search="'), e(search), F.lit('"><summary class="'), "verdict", F.lit('">'), mark(F.col("verdict")), F.lit(" "), e("label"), F.lit(": "), e("summary"), F.lit(" ["), number(F.col("execs")), F.lit(" commands, "), number(F.col("edits")), F.lit(" edits]</summary>"), body, F.lit("</details>"))
-    return met.orderBy(rank(F.col("verdict")), F.col("execs").desc(), "row_ord").select(out.alias("html"))
+    out = F.concat(_branch(F.col("present")), body, F.lit("</details>"))
+    return rows.join(inner, "label", "left").orderBy(rank(F.col("verdict")), F.col("execs").desc(), "row_ord").select(out.alias("html"))
+
+
+def report_pages(rows: DataFrame, reports: DataFrame, digests: DataFrame, path: str, title: str = "Execution evidence", each: int = 500, slices: int = 1) -> int:
+    """Writes the report as pages of ``each`` branches, by tasks, and an index of the pages; the number of pages.
+
+    A page is made of pieces (its head, branches, sessions, findings) that a task writes in
+    order, so no branch is held as a whole.  With each page goes an index of its branches,
+    a JSON line for each.  The driver sees one row for each page.
+    """
+    from veriloom.operators.ordered import running
+
+    spark = rows.sparkSession
+    worst, execs = rank(F.col("verdict")), F.col("execs")
+    placed = running(rows, [], [worst, execs.desc(), "row_ord"], sums={"place": F.lit(1)}, slices=slices, by=worst * float(1 << 40) - execs)
+    placed = placed.withColumn("page", F.floor((F.col("place") - 1) / each))
+    member = placed.select("page", "place", F.posexplode("sessions").alias("no", "id")).join(reports.select("id", "session_id", "execs", "runs", "edits"), "id")
+    cards = member.select("page", "place", "no", "session_id").join(digests, "session_id")
+    present = cards.groupBy("place").agg(F.collect_set("verdict").alias("present"))  # four verdicts
+    none = F.struct(F.lit(-1).alias("rank"), F.lit(None).cast(digests.schema["claim_ord"].dataType).alias("claim_ord"))
+    before, after = html_frame(title, None, None)
+    pages = placed.select("page").distinct()
+    last = 1 << 62
+    pieces = placed.join(present, "place", "left").select("page", F.col("place").cast("long").alias("place"), F.lit(-1).cast("long").alias("no"), none.alias("card"), _branch(F.col("present")).alias("html"))
+    pieces = pieces.unionByName(member.select("page", F.col("place").cast("long").alias("place"), F.col("no").cast("long").alias("no"), none.alias("card"), _session().alias("html")))
+    pieces = pieces.unionByName(cards.select("page", F.col("place").cast("long").alias("place"), F.col("no").cast("long").alias("no"), F.struct(rank(F.col("verdict")).alias("rank"), "claim_ord").alias("card"), _card().alias("html")))
+    pieces = pieces.unionByName(placed.select("page", F.col("place").cast("long").alias("place"), F.lit(last).alias("no"), none.alias("card"), F.lit("</details>").alias("html")))
+    for place, html in ((-1, before), (last, after)):
+        pieces = pieces.unionByName(pages.select("page", F.lit(place).cast("long").alias("place"), F.lit(0).cast("long").alias("no"), none.alias("card"), F.lit(html).alias("html")))
+    ordered = pieces.repartition("page").sortWithinPartitions("page", "place", "no", "card").select("page", "html")
+    ordered.write.mode("overwrite").partitionBy("page").text(f"{path}/pages")
+    index = placed.select("page", F.to_json(F.struct("label", "verdict", "summary", "place")).alias("json")).repartition("page").sortWithinPartitions("page", "json")
+    index.write.mode("overwrite").partitionBy("page").text(f"{path}/index")
+    tallies = [F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS]
+    told = placed.groupBy("page").agg(F.min_by("label", "place").alias("first"), F.max_by("label", "place").alias("last"), F.count(F.lit(1)).alias("n"), *tallies).orderBy("page").collect()  # a row for each page
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind, end in (("pages", "html"), ("index", "jsonl")):
+        for r in told:
+            made = [x.getPath() for x in fs.globStatus(jvm(f"{path}/{kind}/page={r['page']}/part-*"))]
+            fs.rename(made[0], jvm(f"{path}/{kind}-{r['page']:05d}.{end}"))
+        fs.delete(jvm(f"{path}/{kind}"), True)
+    from html import escape
+
+    line = lambda r: f'<li><a href="pages-{r["page"]:05d}.html">{escape(r["first"])} to {escape(r["last"])}</a> {r["n"]:,} branches: ' + ", ".join(f"{v.lower()} {r[v]:,}" for v in VERDICTS) + "</li>"
+    out = fs.create(jvm(f"{path}/index.html"), True)
+    out.write(bytearray(f"{before}<ol>{''.join(map(line, told))}</ol>{after}".encode()))
+    out.close()
+    return len(told)
 
 
 def html_headline(lead: DataFrame) -> DataFrame:
@@ -159,12 +223,13 @@ def html_headline(lead: DataFrame) -> DataFrame:
     return lead.select(out.alias("html"))
 
 
-def html_frame(title: str, counts: dict, rows: int, head: str | None = None, lead: str = "") -> tuple[str, str]:
+def html_frame(title: str, counts: dict | None, rows: int | None, head: str | None = None, lead: str = "") -> tuple[str, str]:
     """What stands before and after the branches of the self-contained report; ``lead`` is HTML."""
     from html import escape
 
-    chips = "".join(f'<label><input type="checkbox" name="v" value="{v}"> {v.lower()} {counts[v]:,}</label> ' for v in VERDICTS)
+    chips = "".join(f'<label><input type="checkbox" name="v" value="{v}"> {v.lower()}{f" {counts[v]:,}" if counts else ""}</label> ' for v in VERDICTS)
+    said = f"<p>{rows:,} branches, {sum(counts.values()):,} claims</p>" if counts else ""
     policy = "default-src 'none'; style-src 'unsafe-inline'; script-src 'unsafe-inline'"
     chain = f"<p>chain head <code>{escape(head)}</code></p>" if head else ""
-    before = f'<!doctype html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{policy}"><title>{escape(title)}</title><style>{STYLE}</style></head><body><h1>{escape(title)}</h1><p>{rows:,} branches, {sum(counts.values()):,} claims</p>{chain}{lead}<p><input id="q" placeholder="filter"> {chips}</p>'
+    before = f'<!doctype html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{policy}"><title>{escape(title)}</title><style>{STYLE}</style></head><body><h1>{escape(title)}</h1>{said}{chain}{lead}<p><input id="q" placeholder="filter"> {chips}</p>'
     return before, f"<script>{SCRIPT}</script></body></html>\n"
