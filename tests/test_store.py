@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.transcripts import ran, said, write
 from veriloom.functions.redact import redact, shortened
 from veriloom.operators import chain
+from veriloom.sources import store as S
 from veriloom.sources import transcripts as T
 from veriloom.sources.store import Store
 
@@ -134,14 +135,16 @@ def opened(df):
 
 @pytest.fixture(scope="module")
 def grown(spark, tmp_path_factory):
-    """A store of twelve ingests of a session each, and one that lets a session grow."""
+    """A store of six ingests of a session each, and one that lets a session grow; logs of four tables merge."""
+    S.COMPACT = 4
     at = tmp_path_factory.mktemp("grown")
     root, store = at / "root", Store(spark, f"file://{at}/store")
-    for k in range(10):
+    for k in range(6):
         write(root, {f"s{k}": (SCRIPT[: 2 + 2 * (k % 2)], "/work/alpha", f"b{k % 3}")})
         store.ingest([f for f in T.locate(spark, f"file://{root}") if f.endswith(f"s{k}.jsonl")])
     write(root, {"s4": (SCRIPT, "/work/alpha", "b1")})
     last = store.ingest(T.locate(spark, f"file://{root}"))
+    S.COMPACT = 8
     return root, store, last
 
 
@@ -149,18 +152,18 @@ def test_one_session_opens_few_tables(spark, grown):
     _, store, last = grown
     assert (last.grown, last.fresh, last.events) == (1, 0, 3)
     batches = store.manifest()["events"]
-    assert len(batches) == 11 and len(opened(store.events())) >= 11
-    assert len(opened(store.events(["s7"]))) == 1 and len(opened(store.events(["s4"]))) == 2
+    assert len(batches) == 7 and len(opened(store.events())) == 7
+    assert len(opened(store.events(["s5"]))) == 1 and len(opened(store.events(["s4"]))) == 2
     assert {r["session_id"] for r in store.events(["s4"]).collect()} == {"s4"}
     assert store.has("s3") and not store.has("s") and not store.has("nobody")
-    assert opened(store.read(session="s7").findings) & {b["name"] for b in batches} == opened(store.events(["s7"]))
+    assert opened(store.read(session="s5").findings) & {b["name"] for b in batches} == opened(store.events(["s5"]))
 
 
 def test_logs_are_merged_and_verdicts_kept(spark, grown):
     """An ingest reconciles only what it touched; the kept verdicts are those of a recompute."""
     _, store, _ = grown
     m = store.manifest()
-    assert all(len(m[log]) <= 8 for log in ("sessions", "heads", "tree", "reports", "findings"))
+    assert all(len(m[log]) <= 4 for log in ("sessions", "heads", "tree", "reports", "findings"))
     newest = spark.read.parquet(f"{store.path}/{m['reports'][-1]['name']}")
     if "merged" not in m["reports"][-1]["name"]:
         assert [r["session_id"] for r in newest.collect()] == ["s4"]
@@ -170,12 +173,12 @@ def test_logs_are_merged_and_verdicts_kept(spark, grown):
     assert sorted(map(tuple, reports.select(columns).collect())) == sorted(map(tuple, e.reports.select(columns).collect()))
     columns = ["session_id", "seq", "activity", "verdict", "reason", "sentence"]
     assert sorted(map(tuple, findings.select(columns).collect())) == sorted(map(tuple, e.findings.select(columns).collect()))
-    assert store.sessions().count() == 10 and store.verify()["ok"]
+    assert store.sessions().count() == 6 and store.verify()["ok"]
 
 
 def test_changes_are_found(spark, grown):
     _, store, _ = grown
-    name = store.manifest()["events"][5]["name"]
+    name = store.manifest()["events"][4]["name"]
     parts = [p for p in __import__("pathlib").Path(store.path.removeprefix("file://"), name).iterdir() if p.suffix == ".parquet"]
     kept = {p: p.read_bytes() for p in parts}
     for p in parts:

@@ -160,6 +160,33 @@ SQL = {
     "report_digest": _BASE + """SELECT session_id, verdict, sentence, CAST(any_value(len(shown)) AS INTEGER) AS runs_shown, array_to_string(shown, '|') AS commands, string_agg(activity, ',' ORDER BY first) AS activities
         FROM (SELECT session_id, verdict, sentence, shown, activity, min(seq * 10 + claim_no) AS first FROM findings GROUP BY ALL) GROUP BY session_id, verdict, sentence, shown""",
     "later_runs": _BASE + "SELECT session_id, seq, activity, array_to_string(list_transform(every_run[:3], lambda x: x.s), ',') AS run_seqs FROM findings WHERE latest IS NULL AND every_run IS NOT NULL",
+    "judged_cases": """
+        WITH own AS (SELECT user_id || '/' || (event_id % 40) AS s, event_id AS n, event_type AS kind, user_id FROM events WHERE user_id % 4 <> 3 OR event_type <> 'view'),
+        acts AS (SELECT *, ['test', 'build', 'lint', 'typecheck'][n % 4 + 1] AS act FROM own),
+        ran AS (SELECT s, count(*) AS execs, bool_or(n % 3 = 0) AS denied FROM own WHERE kind = 'view' GROUP BY s),
+        met AS (
+            SELECT c.s, c.n, c.act, c.user_id, max(r.n) FILTER (WHERE r.n <= c.n) AS last, count(r.n) AS runs
+            FROM acts c LEFT JOIN acts r ON r.s = c.s AND r.act = c.act AND r.kind = 'click' WHERE c.kind = 'purchase' GROUP BY ALL
+        ),
+        told AS (
+            SELECT m.*, coalesce(execs, 0) AS execs, coalesce(denied, false) AS denied, CASE act WHEN 'test' THEN 'tests' ELSE act END AS label, n % 3 = 0 AS says_ran,
+                   ['passed', 'failed', 'indeterminate'][last % 3 + 1] AS outcome
+            FROM met m LEFT JOIN ran USING (s)
+        )
+        SELECT s AS session_id, n AS seq, act AS activity, CASE WHEN says_ran THEN 'ran' ELSE 'pass' END AS assertion, CAST(CASE WHEN last IS NOT NULL THEN 1 ELSE least(runs, 3) END AS INTEGER) AS shown,
+            CASE WHEN last IS NULL THEN CASE WHEN runs > 0 OR execs = 0 OR user_id % 5 = 0 OR denied THEN 'UNKNOWN' ELSE 'UNSUPPORTED' END
+                 WHEN outcome = 'failed' THEN 'CONTRADICTED' WHEN outcome = 'passed' OR says_ran THEN 'VERIFIED' ELSE 'UNKNOWN' END AS verdict,
+            CASE WHEN last IS NULL AND runs > 0 THEN label || ' ran only after this statement — cannot tell what it referred to'
+                 WHEN last IS NULL AND execs = 0 THEN 'no shell activity recorded in this transcript — evidence may be incomplete'
+                 WHEN last IS NULL AND user_id % 5 = 0 THEN 'no ' || label || ' command observed, but py_exec, Task can execute code we cannot inspect'
+                 WHEN last IS NULL AND denied THEN 'no ' || label || ' command observed, and at least one command was denied before it could run'
+                 WHEN last IS NULL THEN 'claimed ' || label || ' — no ' || label || ' command was run in ' || execs || ' shell invocations'
+                 WHEN outcome = 'failed' THEN 'claimed ' || label || ' passed — the last observed ' || label || ' run failed' || CASE WHEN last % 2 = 0 THEN ' (exit ' || (last % 5) || ')' ELSE '' END
+                 WHEN outcome = 'passed' AND says_ran THEN label || ' did run and succeeded'
+                 WHEN outcome = 'passed' THEN label || ' observed passing via ' || CASE last % 2 WHEN 0 THEN 'exit status 0' ELSE 'runner summary' END
+                 WHEN says_ran THEN label || ' did run; outcome not determinable'
+                 ELSE label || ' ran but its outcome is not recoverable from the transcript (output piped or suppressed)' END AS reason
+        FROM told""",
     "transcript_claims": _BASE + """, lined AS (SELECT *, sum(CASE WHEN kind IN ('purchase', 'signup') THEN 1 ELSE 2 END) OVER (PARTITION BY session_id ORDER BY seq) AS line FROM steps)
         SELECT l.session_id, CAST(l.line AS INTEGER) AS seq, c.activity, c.assertion, c.sentence FROM lined l JOIN claims_ c USING (kind, k)""",
     "transcript_execs": _BASE + """, lined AS (SELECT *, sum(CASE WHEN kind IN ('purchase', 'signup') THEN 1 ELSE 2 END) OVER (PARTITION BY session_id ORDER BY seq) AS line FROM steps)

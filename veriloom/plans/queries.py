@@ -78,6 +78,20 @@ def later_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("session_id", "seq", "activity", F.array_join(F.transform("evidence", lambda e: e["seq"].cast("string")), ",").alias("run_seqs"))
 
 
+def judged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that something passed or ran, in sessions with and without commands, denied ones and
+    hidden tools, and runs of every outcome, all from the events."""
+    e = table(spark, sf_dir, "events").where("user_id % 4 <> 3 or event_type <> 'view'")
+    n, k = F.col("event_id"), lambda *of: F.element_at(F.array(*[F.lit(x) for x in of]), (F.col("event_id") % len(of) + 1).cast("int"))
+    own = e.select(F.concat_ws("/", "user_id", (n % 40).cast("string")).alias("session_id"), n.alias("seq"), "event_id", "event_type", "user_id")
+    tools = F.when(F.col("user_id") % 5 == 0, F.array(F.lit("py_exec"), F.lit("Task"))).otherwise(F.array().cast("array<string>"))
+    sessions = own.groupBy("session_id").agg(F.first(tools).alias("opaque_executors"))
+    execs = own.where("event_type = 'view'").select("session_id", F.when(n % 3 == 0, "denied").otherwise("passed").alias("outcome"))
+    runs = own.where("event_type = 'click'").select("session_id", F.struct("seq").alias("ord"), "seq", F.lit(0).alias("run_ord"), k("test", "build", "lint", "typecheck").alias("activity"), k("passed", "failed", "indeterminate").alias("outcome"), k("exit-status", "output-summary").alias("basis"), F.when(n % 2 == 0, n % 5).alias("exit_code"), F.lit("c").alias("command"), F.lit("t").alias("ts"))
+    claims = own.where("event_type = 'purchase'").select("session_id", "seq", F.lit("t").alias("ts"), F.struct("seq").alias("claim_ord"), k("test", "build", "lint", "typecheck").alias("activity"), F.when(n % 3 == 0, "ran").otherwise("pass").alias("assertion"), F.lit("s").alias("sentence"))
+    return R.judge(claims, runs, sessions, execs, 4).select("session_id", "seq", "activity", "assertion", "verdict", "reason", F.size("evidence").alias("shown"))
+
+
 def transcript_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.normalize(derived.transcripts(spark, sf_dir))
     return t.sessions.select("session_id", "cwd", "git_branch", "started_at", "ended_at", "input_tokens", "output_tokens", "unparsed_lines")
@@ -290,7 +304,7 @@ def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [asof_verdict, observed_runs, session_reports, branch_rollup, risk_queue, headline_finding, verdict_tally, policy_gate, report_digest, later_runs, transcript_sessions, transcript_execs, transcript_claims, asof_join_orders, classify_command, split_segments, output_signs, prose_sentences, prose_claims, redact_text, redact_kinds, redaction_counts, utf8_truncate, entropy, html_escape, encode_path, labels, chain_build, chain_breaks, merkle_heads, merkle_update, transcript_lines, anti_join_seen, highwater_append, highwater_files, upsert_coalesce]
+    own = [asof_verdict, observed_runs, session_reports, branch_rollup, risk_queue, headline_finding, verdict_tally, policy_gate, report_digest, later_runs, judged_cases, transcript_sessions, transcript_execs, transcript_claims, asof_join_orders, classify_command, split_segments, output_signs, prose_sentences, prose_claims, redact_text, redact_kinds, redaction_counts, utf8_truncate, entropy, html_escape, encode_path, labels, chain_build, chain_breaks, merkle_heads, merkle_update, transcript_lines, anti_join_seen, highwater_append, highwater_files, upsert_coalesce]
     return {q.__name__: q for q in own}
 
 
