@@ -7,6 +7,9 @@ one perspective, with its place in the whole rendering, so a dialogue of any
 length is spread over tasks: places are sums before chunks of CHUNK turn numbers,
 plus sums within a chunk.
 
+A text that holds the marks of a turn can't end its own or begin another: a blank breaks
+up each mark in it.
+
 Results in the odd cases: null text counts as empty; a null or empty speaker is
 called ``unknown``; line ends and angle brackets in names become spaces; a null
 conversation id is one conversation, a null turn comes first; rows of the same
@@ -17,11 +20,18 @@ result; other columns do not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1024
 SYSTEM = "system"
+START, END = "<|im_start|>", "<|im_end|>"
+
+
+def _plain(text: Column) -> Column:
+    for mark in (START, END):
+        text = F.replace(text, F.lit(mark), F.lit(f"< {mark[1:]}"))
+    return text
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -35,14 +45,14 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.col(conv_col).cast("long").alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.when(name == "", "unknown").otherwise(name).alias("speaker"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        _plain(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"),
     )
     speakers = said.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     rows = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user")
-    head = F.concat(F.lit("<|im_start|>"), role, F.when(role == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(""), F.lit("\n"))
-    tail = F.lit("<|im_end|>\n")
+    head = F.concat(F.lit(START), role, F.when(role == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(""), F.lit("\n"))
+    tail = F.lit(f"{END}\n")
     rows = rows.withColumn("chat_role", role).withColumn("head", F.length(head)).withColumn("rendered", F.concat(head, "text", tail)).withColumn("size", F.length("rendered").cast("long"))
     rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))))
     per = rows.groupBy("conv_id", "perspective", "chunk").agg(F.sum("size").alias("chars"), F.count(F.lit(1)).alias("n"))

@@ -182,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op10_chat": r"""
             WITH said AS (
-                SELECT conv_id, turn, coalesce(nullif(regexp_replace(coalesce(role, ''), '[\r\n<>]', ' ', 'g'), ''), 'unknown') AS speaker, coalesce(text, '') AS text
+                SELECT conv_id, turn, coalesce(nullif(regexp_replace(coalesce(role, ''), '[\r\n<>]', ' ', 'g'), ''), 'unknown') AS speaker, replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text
                 FROM conversations
             ), rotated AS (
                 SELECT s.*, p.perspective,
