@@ -28,7 +28,8 @@ CASES = {
 @pytest.fixture(scope="module")
 def found(spark, tmp_path_factory):
     root = write(tmp_path_factory.mktemp("root"), {k: v[0] for k, v in CASES.items()})
-    t = T.normalize(T.scan(spark, T.locate(spark, str(root))))
+    s = T.scan(spark, T.locate(spark, str(root)))
+    t = T.normalize(s, T.records(s.lines).persist())
     e = R.from_transcripts(t, T.in_scope(t, "/work"))
     names = e.sessions.select("session_id", "id")
     rows = e.findings.join(names, "session_id").collect()
@@ -54,7 +55,8 @@ def test_badges(found):
 
 def _one(spark, tmp_path, scripts):
     root = write(tmp_path, scripts)
-    t = T.normalize(T.scan(spark, T.locate(spark, str(root))))
+    s = T.scan(spark, T.locate(spark, str(root)))
+    t = T.normalize(s, T.records(s.lines).persist())
     return R.from_transcripts(t, T.in_scope(t))
 
 
