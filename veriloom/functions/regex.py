@@ -62,5 +62,6 @@ def matches(column: Column, *patterns: tuple[str, str]) -> Column:
 
 
 def trimmed(column: Column) -> Column:
-    s = f"[{_spaces()}]"
-    return F.regexp_replace(column, f"^{s}+|{s}+\\z", "")
+    """Without white space at both ends; a regular expression would try each blank of the text."""
+    blanks = (c if isinstance(c, str) else "".join(map(chr, range(ord(c[0]), ord(c[1]) + 1))) for c in SPACE)
+    return F.btrim(column, F.lit("".join(blanks)))

@@ -8,6 +8,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a row costs much more time than bytes here, so small tables keep their tasks; large ones never reach it
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 

@@ -131,10 +131,13 @@ def packed(parts: list[tuple[str, int, int, int]], size: int) -> list[Ranges]:
 class LinesReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.files = [tuple(x) for x in json.loads(options["files"])]
-        self.size = int(options.get("range", RANGE))
+        self.size, self.tasks = int(options.get("range", RANGE)), int(options.get("tasks", 1))
 
     def partitions(self) -> list[Ranges]:
-        return packed(cut(self.files, self.size), max(self.size, FILE)) or [Ranges([])]
+        parts = cut(self.files, self.size)
+        # small ranges are many; a task takes its share of them, but no more than RANGE
+        share = sum(max(FILE, b - a) for _, a, b, _ in parts) // self.tasks
+        return packed(parts, max(self.size, FILE, min(RANGE, share))) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return _batches(row for part in partition.parts for row in read_range(*part))
@@ -221,7 +224,7 @@ class Lines(DataSource):
 def read_lines(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE) -> DataFrame:
     """Rows of SCHEMA for listed files."""
     spark.dataSource.register(Lines)
-    return spark.read.format("transcript_lines").option("files", json.dumps(files)).option("range", size).load()
+    return spark.read.format("transcript_lines").option("files", json.dumps(files)).option("range", size).option("tasks", spark.sparkContext.defaultParallelism).load()
 
 
 def numbered(spark: SparkSession, files: list[tuple[str, int]], size: int = RANGE) -> tuple[DataFrame, DataFrame]:
