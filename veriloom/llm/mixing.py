@@ -9,7 +9,10 @@ buckets of about FAN; each bucket folds to one open document, and the open ones
 of FAN buckets meet at the next level, up to one document for a source, which is
 drawn by its probability.  Four settled documents at most, of about the size of
 what that leaves short or over, then change their draws; these are not random.
-So a source's words miss its target by less than a document.  All of it is built-in DataFrame functions; no Python runs on rows.
+So a source's words miss its target by less than a document.  Rows of one id, source and size
+are counted first and then numbered, and the number goes into the hash, so any number of
+equal rows is spread over buckets like other documents.  All of it is built-in DataFrame
+functions; no Python runs on rows.
 
 Results in the odd cases: null text has size 0, takes no part in the rounding
 and is taken 0 times; a null source is a source of its own, last in the order;
@@ -29,6 +32,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Documents that one bucket folds.
 FAN = 64
+#: Equal rows that one task numbers at a time.
+CHUNK = 1 << 16
 SCHEMA = "array<struct<k:int, doc_id:bigint, size:bigint, copies:int>>"
 
 
@@ -37,15 +42,29 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"))
 
 
+def counted(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the number ``n`` of rows that are equal in all of it."""
+    return sizes.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered(groups: DataFrame) -> DataFrame:
+    """``n`` rows of each group, with ``no`` from 0; a group of very many rows is numbered by many tasks."""
+    few = groups.where(F.col("n") <= CHUNK).withColumn("low", F.lit(0).cast("long"))
+    starts = groups.where(F.col("n") > CHUNK).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    rows = few.unionByName(starts.repartition("source", "doc_id", "size", "low"))
+    last = F.least(F.col("low") + CHUNK, F.col("n")) - 1
+    return rows.withColumn("no", F.explode(F.sequence(F.col("low"), last))).drop("n", "low")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """One row per source: source, source_size, target, rate, docs.
+    """One row per source: source, source_size, target, rate, sized.  ``sizes`` are ``counted``.
 
     The level L with sum(min(most * size, weight * L)) = sum(size) shares the whole
     by weight and passes on what a capped source can't take.  Sources fill in order
     of most * size / weight, so running sums give the level.  The windows hold one
     row per source, not per document.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"), F.count(F.lit(1)).alias("docs"), F.count_if(F.col("size") > 0).alias("sized"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("sized"))
     ranked = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     capped = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
@@ -81,7 +100,7 @@ def _meet(seed: int):
         # words that can move from one to the other before a probability reaches 0 or 1
         to_a = F.least((F.lit(1.0) - a["p"]) * a["size"], tb)
         to_b = F.least((F.lit(1.0) - x["p"]) * x["size"], ta)
-        up = draw(seed, a["doc_id"], x["doc_id"], a["k"], x["k"], F.size(acc["done"])) * (to_a + to_b) < to_b
+        up = draw(seed, F.col("bucket"), a["doc_id"], x["doc_id"], a["k"], x["k"], F.size(acc["done"])) * (to_a + to_b) < to_b
         pa = F.when(up, a["p"] + to_a / a["size"]).otherwise(a["p"] - to_b / a["size"])
         pb = F.when(up, x["p"] - to_a / x["size"]).otherwise(x["p"] + to_b / x["size"])
         eps = 1e-9
@@ -133,18 +152,24 @@ def _same(other: str) -> Column:
     return F.col("source").eqNullSafe(F.col(f"{other}.source")) & (F.col("bucket") == F.col(f"{other}.bucket")) & (F.col("pos") == F.col(f"{other}.pos"))
 
 
+def dealt(rows: DataFrame, seed: int) -> DataFrame:
+    """Documents whose draw is open, with the bucket of each."""
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("sized") / FAN)).cast("long")
+    return rows.select("source", "doc_id", "size", "p", "k", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "no"), buckets).alias("bucket"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sizes = written(sized(docs, id_col, text_col, source_col), "sizes")
+    sizes = written(counted(sized(docs, id_col, text_col, source_col)), "sizes")
     goal = written(targets(sizes, weights, most), "targets")
     known = sizes.alias("d").join(bounded(goal), F.col("d.source").eqNullSafe(goal["source"])).select("d.*", "source_size", "target", "rate", "sized")
     base = F.floor(F.col("rate") + 1e-12)
     part = F.greatest(F.lit(0.0), F.col("rate") - base)
     known = known.withColumn("k", base.cast("int")).withColumn("p", part)
     sure = (F.col("size") == 0) | (F.col("p") < 1e-9)
+    known = numbered(known)
     settled = known.where(sure).select("source", "doc_id", "size", F.when(F.col("size") > 0, F.col("k")).otherwise(0).alias("copies"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("sized") / FAN)).cast("long")
-    open_ = known.where(~sure).select("source", "doc_id", "size", "p", "k", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), buckets).alias("bucket"))
+    open_ = dealt(known.where(~sure), seed)
     levels, most_docs = 1, goal.agg(F.max("sized")).first()[0] or 0
     while FAN**levels < most_docs:
         levels += 1
