@@ -250,7 +250,7 @@ def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame | None:
     while left or more is not None:
         share = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(1 << 30)) / float(1 << 30)
         is_hub = share * F.col("size") < HUBS[min(level, len(HUBS) - 1)]
-        pairs = _pairs(members, members.where(is_hub), alike)
+        pairs = _pairs(members.withColumn("is_hub", is_hub), alike, level > 0)
         verified = _met(pairs if more is None else pairs.unionByName(more), words, met, alike)
         links = verified.where("similarity > 0").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         stay = members.where(~is_hub)
@@ -284,10 +284,21 @@ def _may(most: Column, n: Column, alike: float) -> Column:
     return most * (1 + alike) >= alike * n - 1e-6
 
 
-def _pairs(members: DataFrame, hubs: DataFrame, alike: float) -> DataFrame:
-    """Members with hubs of another class in their bucket that they may be alike to."""
-    hubs = hubs.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "most", "root")])
-    may = _may(F.least("most", "hub_most"), F.col("n") + F.col("hub_n"), alike)
+def _pairs(members: DataFrame, alike: float, once: bool) -> DataFrame:
+    """Members with hubs of another class in their bucket that they may be alike to.
+
+    Of two hubs of a bucket one meets the other.  ``once``: a member meets a hub in the
+    smallest of the buckets alone in which it could, not in each that they share; for that
+    each row carries its node's open buckets, so the first round, in which most rows are of
+    buckets that it will close, does without.
+    """
+    if once:
+        each = members.groupBy("node", "n", "most", "root").agg(F.collect_list(F.struct("bucket", "is_hub")).alias("open"))
+        members = each.select("node", "n", "most", "root", F.col("open.bucket").alias("own"), F.filter("open", lambda x: x["is_hub"])["bucket"].alias("led"), F.explode("open").alias("at")).select("*", "at.*").drop("at")
+    hubs = members.where("is_hub").select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "most", "root", *["led"] * once)])
+    may = _may(F.least("most", "hub_most"), F.col("n") + F.col("hub_n"), alike) & (~F.col("is_hub") | (F.col("node") > F.col("hub_node")))
+    if once:
+        may &= F.array_min(F.array_intersect("own", "hub_led")) == F.col("bucket")
     met = members.join(hubs, "bucket").where((F.col("root") != F.col("hub_root")) & may)
     own = F.col("node") > F.col("hub_node")
     order = lambda one, other: F.when(own, F.col(one)).otherwise(F.col(other))
