@@ -219,8 +219,12 @@ SQL = {
         suffixes AS (SELECT path, len(parts) AS n, unnest({_SUFFIX}) AS x FROM cut),
         shared AS (SELECT x.s AS s, count(*) AS k FROM suffixes GROUP BY x.s)
         SELECT path, arg_min(s, x.d) AS label FROM suffixes JOIN shared ON shared.s = suffixes.x.s WHERE k = 1 OR x.d = n GROUP BY path""",
-    "chain_build": _HEADS + "SELECT session_id, stretch, events, head FROM heads",
+    "chain_build": "SELECT count(*) AS events, list_reduce(list_prepend(repeat('0', 64), list(event_type || ' ' || props ORDER BY event_id)), lambda a, x: sha256(a || chr(10) || x)) AS head FROM events",
     "chain_breaks": """
+        WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS id, lag(event_id) OVER (ORDER BY event_id) AS before FROM events)
+        SELECT id FROM e WHERE event_id % 2500 <> 7 AND (event_id % 1000 = 3 OR before % 2500 = 7)""",
+    "stretch_heads": _HEADS + "SELECT session_id, stretch, events, head FROM heads",
+    "stretch_breaks": """
         WITH e AS (SELECT user_id, event_id, row_number() OVER own AS id, lag(event_id) OVER own AS before FROM events WINDOW own AS (PARTITION BY user_id, event_id // 4096 ORDER BY event_id))
         SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, id FROM e WHERE event_id % 2500 <> 7 AND (event_id % 1000 = 3 OR before % 2500 = 7)""",
     "merkle_heads": _HEADS + _TREE + "SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0",
