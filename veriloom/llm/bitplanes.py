@@ -92,7 +92,7 @@ def _encode(path: str, end: int, chunk: int, unit: str, held_pieces: int):
                 number += 1
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, rows=2000):
                 rows = []
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text")), strict=True):
                     held += ids + last
